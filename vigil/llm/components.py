@@ -29,7 +29,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest id that can be reached) of each id in the edges (u, v). Without edges the result is empty."""
-    now = stage(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v").distinct(), "edges")
+    now = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").distinct()
     sign = None
     for _ in range(rounds):
         now = stage(_small(_large(now).distinct()).distinct(), "star")

@@ -23,6 +23,8 @@ CHUNK = 1024
 SEGMENT = 8 << 20
 COMPARE = 1 << 16
 HUGE = 256 << 20
+#: Rows of a group that meet its kept text in one part.
+PART = 256
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -121,16 +123,18 @@ def fingerprint_huge(docs: DataFrame, huge: int = HUGE, segment: int = SEGMENT)
 def _differing(docs: DataFrame, groups: DataFrame, n_groups: int, huge: int) -> DataFrame:
     """Fingerprints (h1, h2, n) under which some text differs from the one that stays.
 
-    Only texts of groups with copies move, in chunks; a hot group is a skewed join, which adaptive execution splits. Texts over
-    `huge` bytes have no row here: their SHA-256 was a key of their hashes.
+    Only texts of groups with copies move, in chunks. A group meets its kept text in as many parts as its size asks for, and the
+    kept text goes to each. Texts over `huge` bytes have no row here: their SHA-256 was a key of their hashes.
     """
     key = ["h1", "h2", "n"]
-    twice = groups.where("size > 1").select(*key, "keep_id")
+    twice = groups.where("size > 1").select(*key, "keep_id", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     rows = fingerprint_rows(docs, huge, keep_text=True).where("h1 is not null").join(hinted(twice, n_groups, 1_000_000), key)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.length("text") - 1) / COMPARE).cast("int"))), lambda i: F.substring("text", i * COMPARE + 1, F.lit(COMPARE)))
-    pieces = rows.select(*key, "doc_id", "keep_id", F.posexplode(cut).alias("no", "piece"))
-    stays = pieces.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*key, "no").agg(F.min("piece").alias("kept_piece"))
-    return pieces.join(stays, [*key, "no"], "left").where(~F.col("piece").eqNullSafe(F.col("kept_piece"))).select(*key).distinct()
+    pieces = rows.select(*key, "doc_id", "keep_id", "parts", F.posexplode(cut).alias("no", "piece"))
+    stays = pieces.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*key, "no", "parts").agg(F.min("piece").alias("kept_piece"))
+    stays = stays.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    others = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    return others.join(stays, [*key, "no", "part"], "left").where(~F.col("piece").eqNullSafe(F.col("kept_piece"))).select(*key).distinct()
 
 
 def group_copies(docs: DataFrame, huge: int = HUGE) -> DataFrame:

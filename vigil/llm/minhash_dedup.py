@@ -149,8 +149,7 @@ class _Linker:
         cells = self.classes.select("id", F.explode("bands").alias("band"))
         groups = cells.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
         self.groups = stage(cells.join(groups, "band"), "groups")
-        self.links = self.tested = None
-        self.labels = None
+        self.tested = self.labels = None  # pairs checked; node, component
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (u < v) not tested before whose signatures and set sizes allow a link."""
@@ -179,8 +178,8 @@ class _Linker:
         linked = stage(near.join(a, "u").join(b, "v").select("u", "v", "own_u", "own_v").mapInArrow(_alike(self.percent), "u bigint, v bigint"), "links")
         m = linked.count()
         if m:
-            self.links = linked if self.links is None else self.links.unionByName(linked)
-            self.labels = stage(components(self.links), "labels")
+            stars = None if self.labels is None else self.labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            self.labels = stage(components(linked if stars is None else linked.unionByName(stars)), "labels")
         return m
 
     def open(self) -> DataFrame:
