@@ -1,10 +1,10 @@
 """MinHash near-deduplication: banded minima of many universal hashes, signature checks, links confirmed on full sets.
 
 Texts of equal shingle sets form a class, which one of them stands for. Classes that share a band of their signatures are
-candidates. A group never emits all its pairs: each round pairs the members of a band's group with one pivot, leaves out pairs
-within a component found so far, checks the signatures, then the full sets, and joins what is linked (large-star and
-small-star). Groups whose members are all in one component are done. When few open pairs are left they are all checked, so
-that no link between candidates is lost.
+candidates. First the members of each band's group meet its least member; what signatures and full sets confirm is joined
+(large-star and small-star). Groups within one component are done. In the others, members outside the main component meet a
+few pivots in turns, which a large group of near copies needs, and at last every open pair is checked: only pairs across
+components, so that no link that could join two of them is lost and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -19,15 +19,22 @@ from pyspark.sql import functions as F
 from ._common import hinted, mix, slices, split_words, stage, texts
 from .components import components
 
-BANDS, ROWS = 32, 4
-#: Rounds of pivots before the open pairs that are left are checked one and all.
-PIVOT_ROUNDS = 8
+BANDS, ROWS = 64, 8
+#: Minima whose low bytes a signature keeps for its check.
+KEPT = 128
+#: Shingles hashed at a time, so that they stay in the processor's cache.
+CACHED = 1 << 16
+#: Rounds in which members outside their group's main component meet so many pivots, before the open pairs that are left are
+#: checked one and all; at once where they are no more than LEFT times the classes, or a
+#: round has not made them fewer by a third.
+PIVOT_ROUNDS, PIVOTS, LEFT = 3, 4, 4
 SCHEMA = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
 
 
 def _universal(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and terms of the hashes a * x + b modulo 2^32 of a shingle's upper half."""
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def shingle_sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,21 +68,30 @@ def shingle_sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of the sets [n, 2], bands [n, BANDS] and the low bytes of the minima [n, BANDS * ROWS]; all sets non-empty."""
+    """Digests of the sets [n, 2], bands [n, BANDS] and the low bytes of KEPT minima; all sets non-empty."""
     a, b = _universal()
     n = len(at) - 1
-    minima = np.empty((BANDS * ROWS, n), dtype=np.uint64)
-    for i in range(len(a)):
-        minima[i] = np.minimum.reduceat((values * a[i] + b[i]) >> np.uint64(32), at[:-1])
+    minima = np.empty((BANDS * ROWS, n), dtype=np.uint32)
+    half = (values >> np.uint64(32)).astype(np.uint32)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CACHED, "right")) - 1)
+        x, starts = half[at[lo] : at[hi]], at[lo:hi] - at[lo]
+        h = np.empty_like(x)
+        for i in range(len(a)):
+            np.multiply(x, a[i], out=h)
+            np.add(h, b[i], out=h)
+            np.minimum.reduceat(h, starts, out=minima[i, lo:hi])
+        lo = hi
     bands = np.zeros((BANDS, n), dtype=np.uint64)
     for i in range(BANDS):
         h = np.full(n, i + 1, dtype=np.uint64)
         for r in range(ROWS):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + minima[i * ROWS + r])
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + minima[i * ROWS + r].astype(np.uint64))
         bands[i] = h
     size = np.diff(at).astype(np.uint64)
     digest = np.stack([np.add.reduceat(mix(values ^ np.uint64(s)), at[:-1]) + size for s in (0x1234567, 0x89ABCDEF0)], axis=1)
-    return digest, bands.T, (minima.T & np.uint64(255)).astype(np.uint8)
+    return digest, bands.T, (minima[:: BANDS * ROWS // KEPT].T & np.uint32(255)).astype(np.uint8)
 
 
 def _signed(k: int):
@@ -147,70 +163,61 @@ class _Linker:
             "classes",
         )
         cells = self.classes.select("id", F.explode("bands").alias("band"))
-        groups = cells.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
-        self.groups = stage(cells.join(groups, "band"), "groups")
-        self.tested = self.labels = None  # pairs checked; node, component
-
-    def candidates(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (u < v) not tested before whose signatures and set sizes allow a link."""
-        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        return pairs
-
-    def link(self, pairs: DataFrame) -> int:
-        """Check candidates, keep the links; returns how many were new."""
-        pairs = stage(self.candidates(pairs), "pairs")
-        n = pairs.count()
-        if not n:
-            return 0
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        groups = cells.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
+        once = groups.groupBy("size", "least", "members").agg(F.min("band").alias("band"))  # of bands with the same members one is enough
+        self.groups = stage(cells.join(once.select("band", "least"), "band"), "groups")
+        self.labels = None  # node, component
+
+    def link(self, pairs: DataFrame) -> None:
+        """Check pairs (a, b): sizes and signatures, then full sets; join what is linked."""
         own = self.classes.select("id", "n", "sig")
         side = lambda x: own.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        near = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
+        near = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
+        near = near.where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
         near = stage(near.mapInArrow(_near(self.percent), "u bigint, v bigint"), "near")
-        ids = stage(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), "ids")
-        n_ids = ids.count()
-        if not n_ids:
-            return 0
-        sets = stage(self.docs.join(hinted(ids, n_ids, 2_000_000), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(self.k), "id bigint, own array<bigint>"), "sets")
+        n = near.count()
+        if not n:
+            return
+        ids = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
+        sets = stage(self.docs.join(hinted(ids, 2 * n, 2_000_000), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(self.k), "id bigint, own array<bigint>"), "sets")
         a, b = sets.select(F.col("id").alias("u"), F.col("own").alias("own_u")), sets.select(F.col("id").alias("v"), F.col("own").alias("own_v"))
         linked = stage(near.join(a, "u").join(b, "v").select("u", "v", "own_u", "own_v").mapInArrow(_alike(self.percent), "u bigint, v bigint"), "links")
-        m = linked.count()
-        if m:
+        if linked.limit(1).count():
             stars = None if self.labels is None else self.labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
             self.labels = stage(components(linked if stars is None else linked.unionByName(stars)), "labels")
-        return m
 
-    def open(self) -> DataFrame:
-        """Members (band, id, c) of the groups that still hold more than one component; c is a member's component."""
+    def open(self) -> int:
+        """Leave only the groups that hold more than one component: band, id, c (its component), main (the group's largest).
+
+        Returns how many pairs of members outside the main component with any member there are at most.
+        """
         rows = self.groups.select("band", "id")
-        if self.labels is not None:
-            rows = rows.join(self.labels.withColumnRenamed("node", "id"), "id", "left")
+        if self.labels is None:
+            rows = rows.withColumn("c", F.col("id"))
         else:
-            rows = rows.withColumn("component", F.lit(None).cast("bigint"))
-        rows = rows.select("band", "id", F.coalesce("component", "id").alias("c"))
-        mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return stage(rows.join(mixed.select("band", "size"), "band"), "open")
+            rows = rows.join(self.labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+        per = rows.groupBy("band", "c").agg(F.count("*").alias("m"))
+        mixed = per.groupBy("band").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+        self.groups = stage(rows.join(mixed.select("band", "main", "size"), "band"), "open")
+        return self.groups.where("c <> main").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
     def run(self) -> DataFrame:
         self.link(self.groups.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+        before = None
         for turn in range(PIVOT_ROUNDS + 1):
-            rows = self.open()
-            # what is left in each group, beside its largest component's share of rows
-            per = rows.groupBy("band", "c").agg(F.count("*").alias("m"), F.first("size").alias("size"))
-            left = per.groupBy("band").agg((F.first("size") * (F.first("size") - F.max("m"))).alias("work"), F.max(F.struct("m", "c"))["c"].alias("main"))
-            left = stage(left, "left")
-            work, n = left.agg(F.coalesce(F.sum("work"), F.lit(0)), F.count("*")).first()
-            if not n:
+            work = self.open()
+            if not work:
                 break
-            if turn == PIVOT_ROUNDS or work <= 2 * rows.count():
-                few = rows.join(left.select("band", "main"), "band").where("c <> main")
-                a, b = few.select("band", F.col("id").alias("a"), F.col("c").alias("ca")), rows.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-                self.link(a.join(b, "band").where("ca <> cb").select("a", "b"))
+            few = self.groups.where("c <> main").select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
+            last = turn == PIVOT_ROUNDS or work <= LEFT * self.classes.count() or (before is not None and work > before * 2 / 3)
+            before = work
+            others = self.groups.select("band", "id", "c")
+            if not last:  # some members of each group, each the least by a hash of a share of it
+                h = F.xxhash64("id", F.lit(turn))
+                others = others.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(h.alias("h"), "id", "c")).alias("p")).select("band", "p.id", "p.c")
+            self.link(few.join(others.select("band", F.col("id").alias("b"), F.col("c").alias("cb")), "band").where("ca <> cb").select("a", "b"))
+            if last:
                 break
-            pivot = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("p"))
-            self.link(rows.join(pivot, "band").where(F.col("c") != F.col("p.c")).select(F.col("id").alias("a"), F.col("p.id").alias("b")))
         rep = self.classes.select("d1", "d2", F.col("id").alias("rep"))
         if self.labels is not None:
             rep = rep.join(self.labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("rep"))
@@ -223,7 +230,7 @@ class _Linker:
 
 def _near(percent: int):
     """Keeps pairs whose signatures agree within six standard deviations of the least similarity."""
-    m = BANDS * ROWS
+    m = KEPT
     j = percent / 100
     least = m * j - 6 * (m * j * (1 - j)) ** 0.5
 
