@@ -3,8 +3,9 @@
 Texts of equal shingle sets form a class, which one of them stands for. Classes that share a band of their signatures are
 candidates. First the members of each band's group meet its least member; what signatures and full sets confirm is joined
 (large-star and small-star). Groups within one component are done. In the others, members outside the main component meet a
-few pivots in turns, which a large group of near copies needs, and at last every open pair is checked: only pairs across
-components, so that no link that could join two of them is lost and no group emits all its pairs.
+few pivots in turns, which a large group of near copies needs. At last those that are still outside meet the whole
+group in blocks, where sketches of the sets leave the pairs that may be linked. So no link that could join two components is
+lost, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CACHED = 1 << 16
 #: checked one and all; at once where they are no more than LEFT times the classes, or a
 #: round has not made them fewer by a third.
 PIVOT_ROUNDS, PIVOTS, LEFT = 3, 4, 4
+#: Hashes of a set that a sketch holds, and rows of a group on either side of a block, when the open pairs are checked.
+SKETCH, BLOCK = 2048, 512
 SCHEMA = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
 
 
@@ -132,6 +135,70 @@ def _sets(k: int):
     return run
 
 
+def _sketched(k: int):
+    """Upper halves of a set's hashes, of those under 2^-level of the range only, so that about SKETCH are left at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for part in slices(batch.column(1)):
+                values, at = shingle_sets(texts(part), k)
+                n = np.diff(at)
+                level = np.ceil(np.log2(np.maximum(n, 1) / SKETCH)).clip(0, 31).astype(np.int32)
+                own = np.repeat(level, n).astype(np.uint64)
+                keep = (values >> (np.uint64(63) - own)) <= np.uint64(1)
+                ends = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((values[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(n), pa.array(level), lists], names=["id", "n", "level", "sketch"])
+                start += len(part)
+
+    return run
+
+
+def _meet(percent: int):
+    """Of a block's rows: (asking row, row of another component) whose sketches allow the similarity."""
+    least = percent / 100
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        col = {c: block.column(c).to_numpy(zero_copy_only=False) for c in ("id", "c", "asks", "n", "level")}
+        asks = np.flatnonzero(col["asks"])
+        others = np.flatnonzero(~col["asks"])
+        found_a, found_b = [], []
+        if len(asks) and len(others):
+            lists = block.column("sketch").chunk(0)
+            at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            names, codes = np.unique(flat, return_inverse=True)
+            upper = flat.view(np.uint32)
+            mark = np.zeros(len(names), dtype=bool)
+            for deep in np.unique(col["level"]).tolist():  # pairs of which this is the coarser sketch
+                inside = (upper >> np.uint32(31 - deep)) <= 1
+                total = np.concatenate(([0], np.cumsum(inside)))
+                size = total[at[1:]] - total[at[:-1]]
+                these = others[col["level"][others] <= deep]
+                lens = size[these]
+                body = np.concatenate([codes[at[i] : at[i + 1]][inside[at[i] : at[i + 1]]] for i in these]) if len(these) else codes[:0]
+                ends = np.concatenate(([0], np.cumsum(lens)))
+                for i in asks[col["level"][asks] <= deep].tolist():
+                    own = codes[at[i] : at[i + 1]][inside[at[i] : at[i + 1]]]
+                    mark[own] = True
+                    hits = np.concatenate(([0], np.cumsum(mark[body])))
+                    mark[own] = False
+                    both = hits[ends[1:]] - hits[ends[:-1]]
+                    if deep:  # six standard deviations below
+                        union = np.maximum(size[i] + lens - both, 1)
+                        ok = both / union >= least - 6 * np.sqrt(least * (1 - least) / union)
+                    else:  # equal upper halves of different hashes can hide one or two
+                        ok = (100 + percent) * (both + 2) >= percent * (col["n"][i] + col["n"][these])
+                    ok &= (col["c"][these] != col["c"][i]) & ((col["level"][these] == deep) | (col["level"][i] == deep))
+                    found_b.append(col["id"][these[ok]])
+                    found_a.append(np.full(len(found_b[-1]), col["id"][i]))
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": join(found_a), "b": join(found_b)})
+
+    return run
+
+
 def _alike(percent: int):
     """Keeps pairs (u, v) whose sets, sorted, have intersection * 100 >= percent * union."""
 
@@ -201,6 +268,32 @@ class _Linker:
         self.groups = stage(rows.join(mixed.select("band", "main", "size"), "band"), "open")
         return self.groups.where("c <> main").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
+    def pivots(self, turn: int) -> DataFrame:
+        """Pairs (a, b): each member outside its group's main component, in the largest of its groups, with a few of that group."""
+        few = self.groups.where("c <> main").groupBy("id").agg(F.max(F.struct("size", "band", "c")).alias("g"))
+        few = few.select(F.col("g.band").alias("band"), F.col("id").alias("a"), F.col("g.c").alias("ca"))
+        # each pivot is the least by a hash of a share of the group
+        part = F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")
+        some = self.groups.groupBy("band", part).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("p"))
+        some = some.select("band", F.col("p.id").alias("b"), F.col("p.c").alias("cb"))
+        return few.join(some, "band").where("ca <> cb").select("a", "b")
+
+    def rest(self) -> DataFrame:
+        """Pairs (a, b) across components of a group that their sketches don't rule out, for every member outside the main component.
+
+        Such members meet the whole group in blocks of BLOCK by BLOCK, in one task each, which gives back only what may be linked.
+        """
+        members = self.groups.select(F.col("id").alias("doc_id")).distinct()
+        sketches = self.docs.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sketched(self.k), "id bigint, n bigint, level int, sketch array<int>")
+        per = self.groups.groupBy("band").agg(F.count("*").alias("all"), F.count(F.when(F.col("c") != F.col("main"), 1)).alias("out"))
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        rows = self.groups.join(per.select("band", blocks("all").alias("ms"), blocks("out").alias("os")), "band").withColumn("h", F.xxhash64("id"))
+        some = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        member = rows.select("band", "id", "c", F.lit(False).alias("asks"), some("ms").alias("m"), every("os").alias("o"))
+        asker = rows.where("c <> main").select("band", "id", "c", F.lit(True).alias("asks"), every("ms").alias("m"), some("os").alias("o"))
+        return member.unionByName(asker).join(sketches, "id").groupBy("band", "m", "o").applyInArrow(_meet(self.percent), "a bigint, b bigint")
+
     def run(self) -> DataFrame:
         self.link(self.groups.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
         before = None
@@ -208,16 +301,11 @@ class _Linker:
             work = self.open()
             if not work:
                 break
-            few = self.groups.where("c <> main").select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-            last = turn == PIVOT_ROUNDS or work <= LEFT * self.classes.count() or (before is not None and work > before * 2 / 3)
-            before = work
-            others = self.groups.select("band", "id", "c")
-            if not last:  # some members of each group, each the least by a hash of a share of it
-                h = F.xxhash64("id", F.lit(turn))
-                others = others.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(h.alias("h"), "id", "c")).alias("p")).select("band", "p.id", "p.c")
-            self.link(few.join(others.select("band", F.col("id").alias("b"), F.col("c").alias("cb")), "band").where("ca <> cb").select("a", "b"))
-            if last:
+            if turn == PIVOT_ROUNDS or work <= LEFT * self.classes.count() or (before is not None and work > before * 2 / 3):
+                self.link(self.rest())
                 break
+            before = work
+            self.link(self.pivots(turn))
         rep = self.classes.select("d1", "d2", F.col("id").alias("rep"))
         if self.labels is not None:
             rep = rep.join(self.labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("rep"))
