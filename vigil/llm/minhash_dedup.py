@@ -1,7 +1,7 @@
 """MinHash near-deduplication: banded minima of many universal hashes, signature checks, links confirmed on full sets.
 
 Texts of equal shingle sets form a class, which one of them stands for. Classes that share a band of their signatures are
-candidates. First the members of each band's group meet its least member; what signatures and full sets confirm is joined
+candidates. First the members of some bands' groups meet their least member; what signatures and full sets confirm is joined
 (large-star and small-star). Groups within one component are done. In the others, members outside the main component meet a
 few pivots in turns, which a large group of near copies needs. At last those that are still outside meet the whole
 group in blocks, where sketches of the sets leave the pairs that may be linked. So no link that could join two components is
@@ -28,7 +28,9 @@ CACHED = 1 << 16
 #: Rounds in which members outside their group's main component meet so many pivots, before the open pairs that are left are
 #: checked one and all; at once where they are no more than LEFT times the classes, or a
 #: round has not made them fewer by a third.
-PIVOT_ROUNDS, PIVOTS, LEFT = 3, 4, 4
+PIVOT_ROUNDS, PIVOTS, LEFT = 3, 4, 500
+#: Bands whose groups' members meet the least of them first.
+STAR_BANDS = 16
 #: Hashes of a set that a sketch holds, and rows of a group on either side of a block, when the open pairs are checked.
 SKETCH, BLOCK = 2048, 512
 SCHEMA = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
@@ -156,7 +158,10 @@ def _sketched(k: int):
 
 
 def _meet(percent: int):
-    """Of a block's rows: (asking row, row of another component) whose sketches allow the similarity."""
+    """Of a block's rows: (asking row, row of another component) whose sketches allow the similarity.
+
+    Where they prove it, one row of that component stands for all. (More than two equal upper halves in a pair are as good as impossible.)
+    """
     least = percent / 100
 
     def run(block: pa.Table) -> pa.Table:
@@ -191,6 +196,11 @@ def _meet(percent: int):
                     else:  # equal upper halves of different hashes can hide one or two
                         ok = (100 + percent) * (both + 2) >= percent * (col["n"][i] + col["n"][these])
                     ok &= (col["c"][these] != col["c"][i]) & ((col["level"][these] == deep) | (col["level"][i] == deep))
+                    if not deep:  # of those that are linked for sure, one of each component is enough
+                        sure = np.flatnonzero(ok & ((100 + percent) * (both - 2) >= percent * (col["n"][i] + col["n"][these])))
+                        _, first = np.unique(col["c"][these[sure]], return_index=True)
+                        ok &= ~np.isin(col["c"][these], col["c"][these[sure]])
+                        ok[sure[first]] = True
                     found_b.append(col["id"][these[ok]])
                     found_a.append(np.full(len(found_b[-1]), col["id"][i]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
@@ -229,11 +239,15 @@ class _Linker:
             .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
             "classes",
         )
-        cells = self.classes.select("id", F.explode("bands").alias("band"))
+        self.labels = None  # node, component
+        self.groups = None  # open ones
+
+    def stars(self) -> DataFrame:
+        """Pairs (a, b): each member of a group of the first STAR_BANDS bands with the group's least member."""
+        cells = self.classes.select("id", F.explode(F.slice("bands", 1, STAR_BANDS)).alias("band"))
         groups = cells.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
         once = groups.groupBy("size", "least", "members").agg(F.min("band").alias("band"))  # of bands with the same members one is enough
-        self.groups = stage(cells.join(once.select("band", "least"), "band"), "groups")
-        self.labels = None  # node, component
+        return cells.join(once.select("band", "least"), "band").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
 
     def link(self, pairs: DataFrame) -> None:
         """Check pairs (a, b): sizes and signatures, then full sets; join what is linked."""
@@ -258,13 +272,14 @@ class _Linker:
 
         Returns how many pairs of members outside the main component with any member there are at most.
         """
-        rows = self.groups.select("band", "id")
-        if self.labels is None:
-            rows = rows.withColumn("c", F.col("id"))
-        else:
-            rows = rows.join(self.labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        per = rows.groupBy("band", "c").agg(F.count("*").alias("m"))
-        mixed = per.groupBy("band").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+        cells = self.classes.select("id", F.col("id").alias("c"), "bands")
+        if self.labels is not None:
+            cells = self.classes.join(self.labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "bands")
+        rows = cells.select("id", "c", F.explode("bands").alias("band"))
+        whole = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("members")).where("lo < hi")
+        once = whole.groupBy("size", "least", "members").agg(F.min("band").alias("band"))  # of bands with the same members one is enough
+        rows = stage(rows.join(once.select("band"), "band").select("band", "id", "c"), "mixed")
+        mixed = rows.groupBy("band", "c").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"))
         self.groups = stage(rows.join(mixed.select("band", "main", "size"), "band"), "open")
         return self.groups.where("c <> main").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
@@ -295,7 +310,7 @@ class _Linker:
         return member.unionByName(asker).join(sketches, "id").groupBy("band", "m", "o").applyInArrow(_meet(self.percent), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
-        self.link(self.groups.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+        self.link(self.stars())
         before = None
         for turn in range(PIVOT_ROUNDS + 1):
             work = self.open()
