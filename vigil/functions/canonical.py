@@ -72,26 +72,30 @@ def value_bytes(value) -> int:
     return len(canonical_json(value).encode("utf-8", "surrogatepass"))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) with the value's expression in the plan once, however often f names it: plans of nested keys stay small."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _low_escapes(json_text: Column) -> Column:
     """Spark writes control characters with upper-case hex digits; canonical text has lower case."""
-    out = json_text
-    for upper in "ABCDEF":
-        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00([01]){upper}", rf"$1\\u00$2{upper.lower()}")
-    return F.when(json_text.rlike(r"\\u00[01][A-F]"), out).otherwise(json_text)
+    def lowered(text: Column, digit: Column) -> Column:
+        return F.regexp_replace(text, F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\u00([01])"), digit), F.concat(F.lit(r"$1\\u00$2"), F.lower(digit)))
+
+    return F.when(json_text.rlike(r"\\u00[01][A-F]"), F.aggregate(F.split(F.lit("ABCDEF"), ""), json_text, lowered)).otherwise(json_text)
 
 
 def array_json(parts: Iterable[Column]) -> Column:
     """Canonical text of an array of strings; a null element is JSON null."""
-    return _low_escapes(F.to_json(F.array(*[p.cast("string") for p in parts])))
+    return _once(F.to_json(F.array(*[p.cast("string") for p in parts])), _low_escapes)
 
 
 def string_json(col: Column) -> Column:
     """Canonical text of a string column; null stays null."""
-    whole = _low_escapes(F.to_json(F.array(col.cast("string"))))
-    return F.when(col.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+    return _once(F.to_json(F.array(col.cast("string"))), lambda j: F.when(j != "[null]", F.substring(_low_escapes(j), F.lit(2), F.length(j) - 2)))
 
 
 def object_json(fields: dict[str, Column]) -> Column:
     """Canonical text of an object whose fields are given as JSON texts; a null text means that the field is absent."""
-    parts = [F.when(fields[k].isNotNull(), F.concat(F.lit(canonical_json(k) + ":"), fields[k])) for k in sorted(fields, key=_order)]
+    parts = [F.concat(F.lit(canonical_json(k) + ":"), fields[k]) for k in sorted(fields, key=_order)]  # null if the field is
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

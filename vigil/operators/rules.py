@@ -37,6 +37,12 @@ class Rule:
         if self.decide is not None and self.prepare is not None:
             raise ValueError("a rule has either decide or prepare")
 
+    def decider(self):
+        """The Python function of a batch view, if there is one: decide, or prepare, which gets the frozen batch itself."""
+        if self.prepare is not None:
+            return lambda view: self.prepare(view.batch)
+        return self.decide if callable(self.decide) else None
+
 
 class Rules:
     """A registry; (id, version) is unique."""
