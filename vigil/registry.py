@@ -226,12 +226,12 @@ def _hash(json_text: str) -> str:
     return f"""'vg:input:v1:' || sha256('["vg:input:v1",' || ({json_text}) || ']')"""
 
 
-def _ev(source: str = "SELECT *, epoch_ms(ts) AS acc FROM events") -> str:
+def _ev(source: str = "SELECT *, (epoch_us(ts) // 1000) AS acc FROM events") -> str:
     return f"""src AS ({source}),
-raw AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type, CAST(user_id AS VARCHAR) AS pk, epoch_ms(ts) AS t, acc, CAST(round(value * 100) AS BIGINT) AS cents,
-  strftime(make_timestamp(epoch_ms(ts) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at,
+raw AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type, CAST(user_id AS VARCHAR) AS pk, (epoch_us(ts) // 1000) AS t, acc, CAST(round(value * 100) AS BIGINT) AS cents,
+  strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso_at,
   '{{"cents":' || CAST(round(value * 100) AS BIGINT) || ',"k":' || json_extract_string(props, '$.k') || '}}' AS data FROM src),
-shaped AS (SELECT *, '{{"data":' || data || ',"id":"' || id || '","occurredAt":"' || at || '","origin":{{"depth":0,"kind":"external"}},"source":{{"channelId":"events","installationId":"i0","tenantId":"t0"}},"type":"' || type || '","version":1}}' AS event_json FROM raw),
+shaped AS (SELECT *, '{{"data":' || data || ',"id":"' || id || '","occurredAt":"' || iso_at || '","origin":{{"depth":0,"kind":"external"}},"source":{{"channelId":"events","installationId":"i0","tenantId":"t0"}},"type":"' || type || '","version":1}}' AS event_json FROM raw),
 hashed AS (SELECT *, {_k('event', 1, "'t0'", "'demo'", "'events'", "'i0'", 'id')} AS event_key,
   {_hash("'" + '{"applicationId":"demo","canonicalizationVersion":1,"event":' + "' || event_json || '" + ',"partitionKey":"' + "' || pk || '" + '"}' + "'")} AS input_hash FROM shaped),
 ev AS (SELECT *, {_k('occurrence', 1, 'event_key', 'input_hash')} AS occurrence_key, {_k('partition', 1, "'demo'", "'t0'", "'events'", "'i0'", 'pk')} AS cell_key FROM hashed)"""
@@ -246,7 +246,7 @@ def _br(rules: list[Rule], where: dict[str, str] | None = None, corr: dict[str,
     where, corr, parts = where or {}, corr or {}, []
     for r in rules:
         c = corr.get(r.id, "'default'")
-        parts.append(f"SELECT *, '{r.id}' AS monitor_id, {c} AS correlation_key, at AS order_key, '{r.mode}' AS mode, '{_policy(r)}' AS policy FROM {source} WHERE {where.get(r.id, r.matches)}")
+        parts.append(f"SELECT *, '{r.id}' AS monitor_id, {c} AS correlation_key, iso_at AS order_key, '{r.mode}' AS mode, '{_policy(r)}' AS policy FROM {source} WHERE {where.get(r.id, r.matches)}")
     keyed_sql = f"""SELECT *, {_k('branch', 2, 'occurrence_key', 'monitor_id', "'1'", 'NULL', 'correlation_key')} AS branch_key, {_k('instance', 3, 'cell_key', 'monitor_id', "'1'", 'correlation_key')} AS instance_key FROM ({' UNION ALL '.join(parts)})"""
     head = """'{"applicationId":"demo",' || x || '"canonicalizationVersion":1,"correlationKey":"' || correlation_key || '","definitionVersion":"1","event":' || event_json || ',"eventKey":"' || event_key || '",' || y || '"mode":"' || mode || '","monitorId":"' || monitor_id || '","occurrenceKey":"' || occurrence_key || '","orderKey":"' || order_key || '","partitionKey":"' || pk || '","policy":' || policy || ',"sourceInputHash":"' || input_hash || '","tenantId":"t0"}'"""
     text = lambda x, y: head.replace("|| x ||", f"|| {x} ||").replace("|| y ||", f"|| {y} ||")
@@ -295,7 +295,7 @@ _BODY = """'"applicationId":"demo","batchKey":"' || batch_key || '","correlation
 _WAKES = f""", w0 AS (SELECT *, {_hash("'{' || " + _BODY.replace('|| x ||', '||').replace("|| y ||", "||"))} AS input_hash FROM batches WHERE kind = 'wake'),
 w AS (SELECT *, '{{' || {_BODY.replace('|| x ||', "|| '\"inputHash\":\"' || input_hash || '\",' ||").replace("|| y ||", "|| ',\"wakeKey\":\"' || wake_key || '\"' ||")} AS wake FROM w0)"""
 _LAST = "CAST(strpos('0123456789abcdef', right(wake_key, 1)) - 1 AS INTEGER)"
-_AGAIN = f"""SELECT *, epoch_ms(ts) AS acc FROM events UNION ALL SELECT *, epoch_ms(ts) + {2 * 24 * H} FROM events WHERE event_id % 3 = 0 UNION ALL SELECT *, epoch_ms(ts) + {10 * 24 * H} FROM events WHERE event_id % 9 = 0"""
+_AGAIN = f"""SELECT *, (epoch_us(ts) // 1000) AS acc FROM events UNION ALL SELECT *, (epoch_us(ts) // 1000) + {2 * 24 * H} FROM events WHERE event_id % 3 = 0 UNION ALL SELECT *, (epoch_us(ts) // 1000) + {10 * 24 * H} FROM events WHERE event_id % 9 = 0"""
 _IMM = Rule("all", "1", "events", immediate())
 _COOL = Rule("all", "1", "events", debounce(Q, W, cooldown=C, max_events=1_000_000, max_bytes=1_000_000_000))
 _COOLED = f"greatest(least(updated + {Q}, opened + {W}), coalesce(cd, 0))"
@@ -304,7 +304,7 @@ _SALES_TYPES = "list_position(types, 'signup') > 0 AND list_contains(list_slice(
 
 ORACLES = {
     "flagship_wakes": f"{_ERR} SELECT wake_key, run_key, batch_key, instance_key, n, closed_by, opened_ms, frozen_ms FROM batches WHERE kind = 'wake'",
-    "canonical_events": f"WITH {_ev()} SELECT id, type, CAST(1 AS BIGINT) AS version, at AS occurred_at, data, pk AS partition_key, event_json FROM ev",
+    "canonical_events": f"WITH {_ev()} SELECT id, type, CAST(1 AS BIGINT) AS version, iso_at AS occurred_at, data, pk AS partition_key, event_json FROM ev",
     "event_key": f"WITH {_ev()} SELECT id, event_key FROM ev",
     "source_input_hash": f"WITH {_ev()} SELECT id, input_hash FROM ev",
     "occurrence_key": f"WITH {_ev()} SELECT id, occurrence_key FROM ev",
@@ -323,7 +323,7 @@ ORACLES = {
     "fanout_byte_cap": _fan("SELECT event_key, 'too many branches' AS problem FROM br GROUP BY event_key HAVING count(*) > 1"),
     "order_key_default": f"SELECT {_TURN} AS id, {_TURN} AS order_key FROM conversations",
     "orders_channel": f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, {_k('event', 1, "'t0'", "'demo'", "'orders'", "'i0'", 'CAST(o_orderkey AS VARCHAR)')} AS event_key,
-  '{{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"status":"' || o_orderstatus || '"}}' AS data, strftime(make_timestamp(epoch_ms(o_orderdate) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS occurred_at FROM orders""",
+  '{{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"status":"' || o_orderstatus || '"}}' AS data, strftime(make_timestamp((epoch_us(o_orderdate) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS occurred_at FROM orders""",
     "stream_appends": _fan("SELECT instance_key, event_key, count(*) AS n, count(DISTINCT policy) AS policies FROM br GROUP BY ALL"),
     "receipts_max_accepted_at": _fan("SELECT streams, max(acc) AS accepted_ms, count(*) AS n FROM (SELECT ev.event_key, any_value(ev.acc) AS acc, count(DISTINCT br.instance_key) AS streams FROM ev LEFT JOIN br ON ev.event_key = br.event_key GROUP BY ev.event_key) GROUP BY streams"),
     "immediate_batches": f"""WITH {_ev()}, {_br([LARGE], _WHERE, _CORR)}, b0 AS (SELECT *, [branch_key] AS bk, 1 AS n, acc AS opened_ms, acc AS frozen_ms, 'immediate' AS closed_by FROM br), {_KEYS}
@@ -339,12 +339,14 @@ SELECT instance_key, opened_ms, frozen_ms, closed_by, CAST(n AS BIGINT) AS n, by
 f AS (SELECT pk, rn, event_key, [event_key] AS ring, false AS dup FROM numbered WHERE rn = 1 UNION ALL
   SELECT r.pk, r.rn, r.event_key, CASE WHEN list_contains(f.ring, r.event_key) THEN f.ring ELSE list_append(f.ring, r.event_key)[-{RING}:] END, list_contains(f.ring, r.event_key) FROM f JOIN numbered r ON r.pk = f.pk AND r.rn = f.rn + 1)
 SELECT event_key, count(*) FILTER (NOT dup) AS appended, count(*) FILTER (dup) AS duplicates FROM f GROUP BY event_key""",
-    "input_conflicts": f"""WITH {_ev("SELECT *, epoch_ms(ts) AS acc FROM events UNION ALL SELECT * REPLACE (value + 1 AS value), epoch_ms(ts) FROM events WHERE event_id % 10 = 0")}
+    "input_conflicts": f"""WITH {_ev("SELECT *, (epoch_us(ts) // 1000) AS acc FROM events UNION ALL SELECT * REPLACE (value + 1 AS value), (epoch_us(ts) // 1000) FROM events WHERE event_id % 10 = 0")}
 SELECT event_key, count(DISTINCT input_hash) AS contents FROM ev GROUP BY event_key HAVING count(DISTINCT input_hash) > 1""",
     "policy_conflicts": f"""WITH {_ev()}, {_br([_IMM])}, p AS (SELECT instance_key, CAST(id AS BIGINT) % 2 AS odd, first_value(CAST(id AS BIGINT) % 2) OVER (PARTITION BY instance_key ORDER BY acc, event_key) AS pinned FROM br)
 SELECT instance_key, count(*) AS n FROM p WHERE odd <> pinned GROUP BY instance_key""",
     "decide_threshold": f"{_ERR} SELECT run_key, kind, '{{\"n\":' || n || '}}' AS decision FROM batches",
     "decide_sequence_a_then_b": f"{_of(SALES)} SELECT instance_key, opened_ms, n FROM batches WHERE {_SALES_TYPES}",
+    "sequence_conversations": f"""WITH c AS (SELECT *, {_k('partition', 1, "'demo'", "'t0'", "'conversations'", "'i0'", 'CAST(conv_id AS VARCHAR)')} AS cell_key FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT {_k('instance', 3, 'cell_key', "'answered'", "'1'", "'default'")} AS instance_key, count(*) AS n FROM c GROUP BY cell_key HAVING min(turn) FILTER (role = 'user') < max(turn) FILTER (role = 'assistant')""",
     "shadow_vs_active": f"""SELECT 'errors' AS monitor_id, CASE kind WHEN 'wake' THEN 'deliver' ELSE 'ignored' END AS status, count(*) AS n FROM ({_ERR} SELECT kind FROM batches) GROUP BY ALL
 UNION ALL SELECT 'clicks', CASE kind WHEN 'wake' THEN 'shadowed' ELSE 'ignored' END, count(*) FROM ({_SHD} SELECT kind FROM batches) GROUP BY ALL""",
     "cooldown_batches": f"""WITH RECURSIVE {_ev()}, {_br([_COOL])}, numbered AS (SELECT *, row_number() OVER (PARTITION BY instance_key ORDER BY acc, event_key) AS rn FROM br),
