@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes worked on at a time in a Python worker, so that memory doesn't follow the Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,8 @@ def slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 
 def texts(arr: pa.Array) -> pa.Array:
-    return pc.fill_null(arr.cast(pa.large_string()), "")
+    """A string array without nulls whose buffers begin at its first text: kernels misread the cast of a slice (pyarrow 23)."""
+    return pc.fill_null(pa.concat_arrays([arr]).cast(pa.large_string()), "")
 
 
 def split_words(arr: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -139,16 +140,27 @@ def crc_held_out(id_col: str, mod: int, rest: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, max_chars: int = 1_000_000) -> tuple[list[str], np.ndarray]:
+def excerpt(text, most: int, piece: int = 4096):
+    """The text; one of more than `most` characters is stood for by pieces spread evenly over all of it, `most` characters in all."""
+    n, k = F.length(text), most // piece
+    at = lambda i: (i * ((n - piece) / F.lit(max(k - 1, 1)))).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(text, at(i), F.lit(piece)))
+    return F.when(n <= most, text).otherwise(F.array_join(pieces, " "))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, most_chars: int = 1 << 15) -> tuple[list[str], np.ndarray]:
     """Texts and labels for training: the `most` labelled ids of the smallest hash that aren't held out.
 
-    The bound makes the broadcast and the driver's copy safe at any size. Texts over max_chars train nothing (all are scored).
+    Both bounds make the broadcast and the driver's copy safe at any size: at most `most` rows, and of a text of more than
+    `most_chars` characters as many, taken evenly from all of it (every text is scored whole).
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~crc_held_out("doc_id", mod, rest))
         .groupBy("doc_id").agg(F.max(label).alias("__y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "__y").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.float64)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), excerpt(F.col("text"), most_chars).alias("text"), "__y")).alias("r"))  # one row of an id that repeats
+    got = [(r[0], r[1], r[2]) for r in first.select("doc_id", "r.text", "r.__y").collect()]
+    got.sort(key=lambda r: r[0])
+    return [r[1] for r in got], np.array([r[2] for r in got], dtype=np.float64)
