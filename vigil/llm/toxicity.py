@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Seen, crc_held_out, grown, labelled_sample, mix, raw, split_words, text_udf, texts
+from ._common import Seen, crc_held_out, grown, labelled_sample, mix, raw, slices, split_words, text_udf, texts
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS = 15, 16
@@ -26,6 +26,8 @@ TRAIN_ROWS = 4000
 BLOCK = 4096
 #: Words whose inputs a task remembers.
 CACHE = 500_000
+#: Bytes of distinct words whose character n-grams are worked out at a time; a longer word is worked out in such parts.
+WORD_BYTES = 1 << 17
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -45,28 +47,54 @@ def row_sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_inputs(distinct: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Of each distinct word: its bucket, and for each length the buckets of its character n-grams and how many it has."""
+def framed(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words, each between the marks 1 and 2, and their lengths without marks."""
     body, offsets = raw(distinct)
     n = len(offsets) - 1
-    lens = np.diff(offsets)
     at = offsets + 2 * np.arange(n + 1)
-    framed = np.zeros(len(body) + 2 * n, dtype=np.uint64)
-    inside = np.ones(len(framed), dtype=bool)
+    out = np.zeros(len(body) + 2 * n, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
     inside[at[:-1]] = inside[at[1:] - 1] = False
-    framed[inside] = body
-    framed[at[:-1]], framed[at[1:] - 1] = 1, 2
-    word = np.repeat(np.arange(n), lens + 2)
-    place = np.arange(len(framed)) - at[:-1][word]
-    powers = np.cumprod(np.full(int(lens.max(initial=0)) + 2, 0x9E3779B97F4A7C15, dtype=np.uint64))
-    whole = mix(np.add.reduceat(framed * powers[place], at[:-1])) if n else np.zeros(0, np.uint64)
-    grams, h = [], np.zeros(len(framed), dtype=np.uint64)
-    for k in range(1, max(GRAMS) + 1):  # h: of the k bytes from each place
-        h = h[: len(framed) - k + 1] * np.uint64(0x100000001B3) + framed[k - 1 :] + np.uint64(1) if len(framed) >= k else h[:0]
+    out[inside] = body
+    out[at[:-1]], out[at[1:] - 1] = 1, 2
+    return out, np.diff(offsets)
+
+
+def gram_hashes(marked: np.ndarray) -> list[np.ndarray]:
+    """For each length, the buckets of the n-grams that begin at each place of marked bytes."""
+    out, b = [], marked.astype(np.uint64)
+    h = np.zeros(len(b), dtype=np.uint64)
+    for k in range(1, max(GRAMS) + 1):
+        h = h[: len(b) - k + 1] * np.uint64(0x100000001B3) + b[k - 1 :] + np.uint64(1) if len(b) >= k else h[:0]
         if k in GRAMS:
-            ok = (place[: len(h)] + k) <= (lens + 2)[word[: len(h)]]
-            grams.append(((mix(h[ok] + np.uint64(k << 40)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64), np.maximum(lens + 3 - k, 0)))
-    return (whole >> np.uint64(64 - WORD_BITS)).astype(np.int64), grams
+            out.append((mix(h + np.uint64(k << 40)) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
+    return out
+
+
+def word_buckets(marked: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The bucket of each word, by a polynomial over its marked bytes."""
+    n = len(lens)
+    at = np.concatenate(([0], np.cumsum(lens + 2)))
+    if n == 1:  # in parts: it may be very long
+        total, base, step = np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+        for lo in range(0, len(marked), WORD_BYTES):
+            p = np.cumprod(np.full(len(marked[lo : lo + WORD_BYTES]), base))
+            total = total + step * (marked[lo : lo + WORD_BYTES].astype(np.uint64) * p).sum(dtype=np.uint64)
+            step = step * p[-1]
+        sums = np.array([total])
+    else:
+        powers = np.cumprod(np.full(int(lens.max(initial=0)) + 2, 0x9E3779B97F4A7C15, dtype=np.uint64))
+        place = np.arange(len(marked)) - np.repeat(at[:-1], lens + 2)
+        sums = np.add.reduceat(marked * powers[place], at[:-1]) if n else np.zeros(0, np.uint64)
+    return (mix(sums) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def word_inputs(distinct: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each distinct word: its bucket, and for each length the buckets of its character n-grams and how many it has."""
+    marked, lens = framed(distinct)
+    left = np.arange(len(marked)) - np.repeat(np.cumsum(lens + 2), lens + 2)  # less by how many bytes are left of its word
+    grams = [(h[left[: len(h)] <= -k], np.maximum(lens + 3 - k, 0)) for k, h in zip(GRAMS, gram_hashes(marked), strict=True)]
+    return word_buckets(marked, lens), grams
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +120,18 @@ class Network:
         self.p |= {"A": r(2 * HIDDEN, ATT), "v": r(ATT), "o": r(2 * HIDDEN), "k": np.array([-2.0], np.float32)}
 
     def inputs(self, distinct: pa.Array) -> np.ndarray:
-        """Input of each distinct word: its vector, and the mean of its n-grams' vectors."""
+        """Input of each distinct word: its vector, and the mean of its n-grams' vectors. Memory does not follow the words' bytes."""
+        return np.concatenate([np.zeros((0, 2 * DIM), np.float32), *(self._inputs(part) for part in slices(distinct, WORD_BYTES))])
+
+    def _inputs(self, distinct: pa.Array) -> np.ndarray:
+        if len(distinct) == 1:  # in parts that overlap: it may be very long
+            marked, lens = framed(distinct)
+            total, n, more = np.zeros(DIM, np.float64), 0, max(GRAMS) - 1
+            for lo in range(0, len(marked), WORD_BYTES):
+                for h in gram_hashes(marked[lo : lo + WORD_BYTES + more]):
+                    total += self.p["gram"][h[:WORD_BYTES]].sum(axis=0, dtype=np.float64)
+                    n += len(h[:WORD_BYTES])
+            return np.concatenate((self.p["word"][word_buckets(marked, lens)], (total / max(n, 1)).astype(np.float32)[None, :]), axis=1)
         bucket, grams = word_inputs(distinct)
         n = np.maximum(sum(c for _, c in grams), 1)[:, None].astype(np.float32)
         return np.concatenate((self.p["word"][bucket], sum(row_sums(self.p["gram"][g], c) for g, c in grams) / n), axis=1)
@@ -210,7 +249,9 @@ def train(samples: list[str], labels: np.ndarray, epochs: int = 6, least_steps:
     if not len(samples):
         return net
     codes, offsets, distinct = tokens(texts(pa.array(samples, pa.large_string())))
-    bucket, grams = word_inputs(distinct)
+    parts = [word_inputs(part) for part in slices(distinct, WORD_BYTES)]
+    bucket = np.concatenate([b for b, _ in parts]) if parts else np.zeros(0, np.int64)
+    grams = [tuple(np.concatenate([g[k][x] for _, g in parts]) if parts else np.zeros(0, np.int64) for x in range(2)) for k in range(len(GRAMS))]
     n_grams = np.stack([c for _, c in grams], axis=1)
     total_grams = np.maximum(n_grams.sum(axis=1), 1).astype(np.float32)
     firsts = np.cumsum(n_grams, axis=0) - n_grams
