@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes worked on at a time in a Python worker, so that memory doesn't follow the Arrow batch.
@@ -39,6 +39,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key() -> Column:
+    """Tells apart the texts (column text) of rows that share an id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def hinted(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint for a side whose rows have been counted and stay under a limit, else the side as it is."""
     return F.broadcast(df) if rows <= limit else df

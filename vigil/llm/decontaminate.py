@@ -1,9 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds, the hashed runs of `k` words of the benchmark, are looked up in every document in blocks of the benchmark of a bounded
-size. Each (document, item) that shares a seed is tiled: the longest matches are marked again and again, none overlapping one
-marked before, found by running Karp-Rabin over unmarked runs. The share of an item's words that tiles cover decides, so that
-passages are found whose parts stand in another order.
+Seeds are hashed runs of `k` words. A bitmap of fixed size of the benchmark's seeds leaves few of a document's; those are joined
+with the benchmark's, and each (document, item) that shares a seed is tiled: the longest matches are marked again and again,
+none overlapping one marked before, found by running Karp-Rabin over runs of words. The share of an item's words that tiles
+cover decides, so that passages are found whose parts stand in another order.
 """
 
 from __future__ import annotations
@@ -17,195 +17,196 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, split_words, texts
+from ._common import hinted, mix, raw, slices, split_words, stage, text_key, texts
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Words of the benchmark in a block, which every task holds; more blocks, more passes.
-BLOCK_WORDS = 4_000_000
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MULT = np.uint64(0x9E3779B97F4A7C15)
+#: The bitmap has 2^BITS bits, whatever the benchmark's size.
+BITS = 24
+#: Rows of seeds or pairs that are broadcast at most (under 50 bytes each).
+SMALL = 500_000
 
 
-def words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Lower-cased words without ASCII punctuation at their ends; words of punctuation alone fall away."""
+def words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words without ASCII punctuation at their ends, ragged; words of punctuation alone fall away."""
     codes, offsets, distinct = split_words(pc.utf8_lower(arr), lower=False)
-    bare = pc.ascii_trim(distinct, characters=PUNCT).dictionary_encode()
-    names = bare.dictionary.to_pylist()
-    codes = np.asarray(bare.indices)[codes] if len(codes) else codes
-    empty = names.index("") if "" in names else -1
-    if empty >= 0:
-        there = codes != empty
+    body, at = raw(pc.ascii_trim(distinct, characters=PUNCT))
+    lens = np.diff(at)
+    powers = np.cumprod(np.full(int(lens.max(initial=0)) + 1, MULT))
+    place = np.arange(len(body)) - np.repeat(at[:-1], lens)
+    own = np.zeros(len(lens), dtype=np.uint64)
+    full = lens > 0
+    if full.any():
+        own[full] = mix(np.add.reduceat((body + np.uint64(1)) * powers[place], at[:-1][full]) ^ lens[full].astype(np.uint64))
+    if not full.all():
+        there = full[codes]
         offsets, codes = np.concatenate(([0], np.cumsum(there)))[offsets], codes[there]
-    return codes, offsets, names
+    return own[codes], offsets
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes (modulo 2^64) of all runs of k values."""
     if len(values) < k:
         return np.zeros(0, np.uint64)
-    h = np.zeros(len(values) - k + 1, dtype=np.uint64)
+    h = np.full(len(values) - k + 1, np.uint64(k))
     for j in range(k):
         h = h * MULT + values[j : len(values) - k + 1 + j]
     return h
 
 
+def matches(doc: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in both texts and lengths of all matches of at least k words that can't be made longer.
+
+    Karp-Rabin hashes of k words find equal runs, words confirm them; neighbours on a diagonal are one match.
+    """
+    own, theirs = rolling(item, k), rolling(doc, k)
+    order = np.argsort(own, kind="stable")
+    lo, hi = (np.searchsorted(own[order], theirs, side) for side in ("left", "right"))
+    n = hi - lo
+    i = np.repeat(np.arange(len(theirs)), n)
+    j = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    same = np.ones(len(i), dtype=bool)
+    for t in range(k):
+        same &= doc[i + t] == item[j + t]
+    i, j = i[same], j[same]
+    by = np.lexsort((i, i - j))
+    i, j = i[by], j[by]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1)))) if len(i) else np.zeros(0, np.int64)
+    return i[first], j[first], np.diff(np.append(first, len(i))) + k - 1
+
+
 def tile(doc: np.ndarray, item: np.ndarray, k: int) -> tuple[int, int, int]:
     """Greedy string tiling: words of the item that tiles cover, tiles, longest tile. Matches have k words at least.
 
-    Running Karp-Rabin hashes of k words find where matches may begin; they are compared and extended word by word, and marked
-    from the longest down; one that a marked tile cuts is shortened and queued again.
+    Matches are marked from the longest down, of equal ones the first in the document; one that a marked tile cuts is shortened
+    and queued again. It ends when the item has no run of k unmarked words.
     """
     k = min(k, len(item))
     if not k or len(doc) < k:
         return 0, 0, 0
-    item_hash, doc_hash = rolling(item.astype(np.uint64) + np.uint64(1), k), rolling(doc.astype(np.uint64) + np.uint64(1), k)
-    seeds = defaultdict(list)
-    for j, h in enumerate(item_hash.tolist()):
-        seeds[h].append(j)
-    places = np.flatnonzero(np.isin(doc_hash, item_hash)).tolist()
-    hashes, doc, item = doc_hash.tolist(), doc.tolist(), item.tolist()
-    marked_d, marked_i = [False] * len(doc), [False] * len(item)
     queue: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i in places:
-        for j in seeds[hashes[i]]:
-            if i and j and doc[i - 1] == item[j - 1]:
-                continue  # part of the match that began before
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
-                n += 1
-            if n >= k:
-                queue[n].append((i, j))
+    for i, j, n in zip(*(x.tolist() for x in matches(doc, item, k)), strict=True):
+        queue[n].append((i, j))
+    in_doc, in_item, room = bytearray(len(doc)), bytearray(len(item)), bytes(k)
     covered = tiles = longest = 0
-    while queue:
+    while queue and room in in_item:
         n = max(queue)
         for i, j in sorted(queue.pop(n)):
-            free = [not (marked_d[i + x] or marked_i[j + x]) for x in range(n)]
-            if all(free):
-                for x in range(n):
-                    marked_d[i + x] = marked_i[j + x] = True
+            a, b = in_doc[i : i + n], in_item[j : j + n]
+            if 1 not in a and 1 not in b:
+                in_doc[i : i + n] = in_item[j : j + n] = b"\1" * n
                 covered, tiles, longest = covered + n, tiles + 1, max(longest, n)
                 continue
-            x = 0
-            while x < n:  # what is left of it
-                y = x
-                while y < n and free[y]:
-                    y += 1
+            free = (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)) == 0
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what is left of it
                 if y - x >= k:
                     queue[y - x].append((i + x, j + x))
-                x = max(y, x + 1)
     return covered, tiles, longest
 
 
-class Block:
-    """Items of the benchmark with their seeds sorted by hash."""
-
-    def __init__(self, ids: list, bodies: list[str], k: int):
-        codes, offsets, names = words(texts(pa.array(bodies, pa.string())))
-        self.k, self.ids = k, ids
-        self.code = {w: i for i, w in enumerate(names)}
-        self.items = [codes[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        seeds, owner = [], []
-        for n, item in enumerate(self.items):
-            size = min(k, len(item))
-            if size:
-                h = rolling(item.astype(np.uint64) + np.uint64(1), size) + np.uint64(size)
-                seeds.append(h)
-                owner.append(np.full(len(h), n))
-        self.sizes = sorted({min(k, len(x)) for x in self.items if len(x)})
-        seed, self.owner = (np.concatenate(seeds), np.concatenate(owner)) if seeds else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.owner = seed[order], self.owner[order]
-
-    def hits(self, arr: pa.Array, coverage: float) -> Iterator[tuple[int, object, float, int, int, int]]:
-        """(place of the text, item id, coverage, tiles, longest, words) of each text and item at or over the threshold."""
-        codes, offsets, names = words(arr)
-        if not len(self.seed) or not len(codes):
-            return
-        known = np.array([self.code.get(w, -1) for w in names], dtype=np.int64)[codes]  # -1: in no item
-        value = (known + 1).astype(np.uint64)
-        ends = np.repeat(offsets[1:], np.diff(offsets))
-        pairs = set()
-        for size in self.sizes:
-            h = rolling(value, size)
-            inside = np.ones(len(h), dtype=bool)
-            for j in range(size):
-                inside &= known[j : len(known) - size + 1 + j] >= 0
-            at = np.flatnonzero(inside)
-            at = at[at + size <= ends[at]]
-            h = h[at] + np.uint64(size)
-            lo, hi = np.searchsorted(self.seed, h, "left"), np.searchsorted(self.seed, h, "right")
-            there = np.flatnonzero(hi > lo)
-            doc = np.searchsorted(offsets, at[there], "right") - 1
-            n = (hi - lo)[there]
-            own = self.owner[np.repeat(lo[there] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            pairs.update(zip(np.repeat(doc, n).tolist(), own.tolist(), strict=True))
-        for doc, n in sorted(pairs):
-            item = self.items[n]
-            covered, tiles, longest = tile(known[offsets[doc] : offsets[doc + 1]], item, self.k)
-            if covered >= coverage * len(item):
-                yield doc, self.ids[n], covered / len(item), tiles, longest, len(item)
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
-    """The benchmark (item_id, text) in blocks of about so many words, one in the driver at a time."""
-    block, size = [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += r[1].count(" ") + 1
-        if size >= most:
-            yield sorted(block, key=str)
-            block, size = [], 0
-    if block:
-        yield sorted(block, key=str)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _seeds(sizes: list[int], bitmap: bytes | None):
+    """(id, key, h) for each distinct seed of a text, of those in the bitmap only. Without one: of an item, whose seeds have its words if it has fewer."""
+    most = max(sizes, default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            start = 0
+            for part in slices(batch.column(2)):
+                values, at = words(texts(part))
+                ends, owner = np.repeat(at[1:], np.diff(at)), np.repeat(np.arange(len(part)), np.diff(at))
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                for size in sizes:
+                    h = rolling(values, size)
+                    ok = np.arange(len(h)) + size <= ends[: len(h)]
+                    if bits is None:  # one size for an item: its own
+                        ok &= np.minimum(np.diff(at), most)[owner[: len(h)]] == size
+                    else:
+                        slot = h >> np.uint64(64 - BITS)
+                        ok &= (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    ok = np.flatnonzero(ok)
+                    found.append((owner[ok], h[ok]))
+                own, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                by = np.lexsort((h, own))
+                own, h = own[by], h[by]
+                keep = np.concatenate(([True], (np.diff(own) != 0) | (h[1:] != h[:-1])))[: len(own)]
+                rows = pa.array(own[keep] + start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[keep].view(np.int64))], names=["id", "key", "h"])
+                start += len(part)
+
+    return run
+
+
+def _sizes(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([np.diff(words(texts(part))[1]) for part in slices(batch.column(2))] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n, k))], names=["size"])
+
+    return run
+
+
+def _tiled(k: int, coverage: float):
+    """Rows (doc_id, text_key, text, item_id, item_text) to those whose coverage reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                doc, item = words(texts(row.column(2)))[0], words(texts(row.column(4)))[0]
+                covered, tiles, longest = tile(doc, item, k)
+                if len(item) and covered >= coverage * len(item):
+                    out.append((r, covered / len(item), tiles, longest, len(item)))
+            at, cover, *rest = zip(*out, strict=True) if out else [()] * 5
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(3).take(rows), pa.array(cover, pa.float64()), *(pa.array(x, pa.int32()) for x in rest)],
+                names=["doc_id", "text_key", "item_id", "coverage", "tiles", "longest", "item_words"],
+            )
+
+    return run
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, k: int, coverage: float) -> DataFrame:
+    """doc_id, text_key, item_id, coverage, tiles, longest, item_words for each distinct document and item at or over the threshold."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_key().alias("key"), "text")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), text_key().alias("key"), "text").where("text is not null").dropDuplicates(["id", "key"])
+    sizes = sorted(r[0] for r in items.mapInArrow(_sizes(k), "size bigint").where("size > 0").distinct().collect())  # from 1 to k
+    seeds = stage(items.mapInArrow(_seeds(sizes, None), "id bigint, key bigint, h bigint").select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h"), "seeds")
+    slot = seeds.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot"))
+    filled = slot.groupBy(F.expr("cast(slot >> 3 as int)").alias("byte")).agg(F.expr("bit_or(1 << cast(slot & 7 as int))").alias("bits"))
+    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in filled.toLocalIterator():  # at most one row for each byte of the bitmap
+        bitmap[r[0]] = r[1]
+    known = seeds.count()
+    pairs = rows.where("text is not null").mapInArrow(_seeds(sizes, bitmap.tobytes()), "id bigint, key bigint, h bigint").join(hinted(seeds, known, SMALL), "h")
+    pairs = stage(pairs.select("id", "key", "item_id", "item_key").distinct(), "pairs")
+    n = pairs.count()
+    # null ids meet as well
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    own = items.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("text").alias("item_text"))
+    with_items = pairs.join(hinted(own, known, SMALL // 10), same("item_id", "i") & same("item_key", "k")).select(F.col("id").alias("d"), F.col("key").alias("dk"), "item_id", "item_text")
+    both = rows.dropDuplicates(["id", "key"]) if n > SMALL // 10 else rows
+    both = both.join(hinted(with_items, n, SMALL // 10), same("id", "d") & same("key", "dk")).select("id", "key", "text", "item_id", "item_text")
+    found = both.mapInArrow(_tiled(k, coverage), "doc_id bigint, text_key bigint, item_id bigint, coverage double, tiles int, longest int, item_words int")
+    return stage(found.distinct(), "leaks")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, coverage, tiles, longest, item_words.
 
-    Documents without a match, null and empty texts, and items without words have no row. A null doc_id stays null; rows that
-    repeat repeat. Items shorter than k words must occur whole.
+    Documents without a match, null and empty texts, and items without words have no row. A null doc_id stays null. A document
+    or an item whose row repeats counts once; rows of one id with different texts are looked at each. Items shorter than k words
+    must occur whole. Empty tables give an empty result; other columns are not used.
     """
-    schema = "doc_id bigint, item_id bigint, coverage double, tiles int, longest int, item_words int"
-    names = ["doc_id", "item_id", "coverage", "tiles", "longest", "item_words"]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = None
-    for items in blocks(benchmark, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            block = Block([i for i, _ in items], [t for _, t in items], k)
-            for batch in batches:
-                at = 0
-                for part in slices(batch.column(1)):
-                    found = list(block.hits(texts(part), coverage))
-                    if found:
-                        ids = batch.column(0).slice(at, len(part)).take(pa.array([f[0] for f in found]))
-                        cols = list(zip(*(f[1:] for f in found), strict=True))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=names)
-                    at += len(part)
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+    return _leaks(docs, benchmark, k, coverage).drop("text_key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that no item contaminates, with their columns: a filter on the text, without a join."""
-    from ._common import text_udf
-
-    kept = docs
-    for items in blocks(benchmark):
-
-        def make(items=items):
-            block = Block([i for i, _ in items], [t for _, t in items], k)
-
-            def clean(arr: pa.Array) -> pa.Array:
-                out = np.ones(len(arr), dtype=bool)
-                for hit in block.hits(arr, coverage):
-                    out[hit[0]] = False
-                return pa.array(out)
-
-            return clean
-
-        kept = kept.where(text_udf(make, "boolean")(F.coalesce(F.col("text"), F.lit(""))))
-    return kept
+    """The rows of docs that no item contaminates, with their columns."""
+    gone = _leaks(docs, benchmark, k, coverage).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(hinted(gone, gone.count(), SMALL), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
