@@ -2,7 +2,8 @@
 
 Texts are cut into pre-tokens that no piece of the vocabulary crosses. The distinct ones of a slice lie in ragged numpy
 arrays (symbols and offsets). In every round each pre-token's best pair is merged, in all of them at once; the symbols that
-survive are counted. A symbol outside the vocabulary counts as its UTF-8 bytes.
+survive are counted. A symbol outside the vocabulary counts as its UTF-8 bytes. A long pre-token has rounds of its own, over a
+linked array whose blocks keep their lowest rank, so that a round costs what it changes and not the whole length.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from ._common import raw, sums, text_udf
 
 NONE = np.int64(1) << 40
 SPACE = "▁"
-#: Pre-tokens with more characters are given to the library, whose heap does not take a round for each merge.
-LONG = 512
+#: Pre-tokens with more characters are merged in a linked array of their own, in blocks of BLOCK.
+LONG, BLOCK = 512, 256
 CACHE = 400_000
 
 
@@ -60,6 +61,9 @@ class Merger:
         self.more = np.zeros(1 << bits, dtype=bool)
         self.more[slot[self.slots[slot] != np.arange(len(keys))]] = True
         self.cache: dict[str, int] = {}
+        # ranks after whose merge a better one can come up next to it; their pairs are merged one at a time
+        made = dict(zip(self.made.tolist(), self.ranks.tolist(), strict=True))
+        self.restless = {made[x] for k, (r, _) in pairs.items() for x in (k >> 32, k & 0xFFFFFFFF) if made.get(x, -1) >= r}
 
     def _id(self, text: str, piece: dict[str, int]) -> int | None:
         if text in piece:
@@ -129,6 +133,44 @@ class Merger:
                 at[i], rank[i] = found, np.where(found >= 0, self.ranks[found], NONE)
         return out
 
+    def long(self, token: str) -> int:
+        """Pieces of one long pre-token. In a round all its pairs of the lowest rank are merged from the left, or the leftmost if that can bring up a better one."""
+        points = np.frombuffer(token.encode("utf-32-le"), dtype=np.uint32)
+        chars, back = np.unique(points, return_inverse=True)
+        sym = np.array([self._char(chr(c)) for c in chars], dtype=np.int64)[back]
+        weight = np.array([1 if chr(c) in self.symbol else len(chr(c).encode()) for c in chars], dtype=np.int64)[back]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(-(-n // BLOCK) * BLOCK, NONE)
+        at = np.full(n, -1, dtype=np.int64)
+        at[:-1] = self._find(sym[:-1], sym[1:])
+        rank[:n] = np.where(at >= 0, self.ranks[at], NONE)
+        blocks = rank.reshape(-1, BLOCK)
+        least = blocks.min(axis=1)
+        while (best := least.min()) != NONE:
+            own = np.flatnonzero(least == best)
+            if int(best) in self.restless:
+                hits = own[:1] * BLOCK + np.argmin(blocks[own[0]])
+            else:
+                row, col = np.nonzero(blocks[own] == best)
+                hits = own[row] * BLOCK + col
+                follows = np.concatenate(([False], after[hits[:-1]] == hits[1:]))  # shares a symbol with the one before
+                place = np.arange(len(hits))
+                hits = hits[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]
+            gone = after[hits]
+            sym[hits], weight[hits], weight[gone], rank[gone] = self.made[at[hits]], 1, 0, NONE
+            after[hits] = after[gone]
+            inner = after[hits] < n
+            before[after[hits][inner]] = hits[inner]
+            new = np.unique(np.concatenate((hits, before[hits])))
+            new = new[new >= 0]
+            right = after[new]
+            found = np.where(right < n, self._find(sym[new], sym[np.minimum(right, n - 1)]), -1)
+            at[new], rank[new] = found, np.where(found >= 0, self.ranks[found], NONE)
+            changed = np.unique(np.concatenate((new, gone)) // BLOCK)
+            least[changed] = blocks[changed].min(axis=1)
+        return int(weight.sum())
+
     def count(self, tokens: list[str]) -> np.ndarray:
         """Pieces of each distinct pre-token; those of earlier slices are remembered."""
         out = np.array([self.cache.get(t, -1) for t in tokens], dtype=np.int64)
@@ -141,19 +183,13 @@ class Merger:
                 got[short] = self.merged([fresh[i] for i in short])
             for i, t in enumerate(fresh):
                 if len(t) > LONG:
-                    got[i] = self._library(t)
+                    got[i] = self.long(t)
             out[new] = got
             if len(self.cache) + len(fresh) > CACHE:
                 self.cache.clear()
             self.cache.update((t, n) for t, n in zip(fresh, got.tolist(), strict=True) if len(t) <= 32)
         return out
 
-    def _library(self, token: str) -> int:
-        """A pre-token that starts with the space sign, or one behind a newline, for which the dummy prefix is taken off again."""
-        if token.startswith(SPACE):
-            return len(self.sp.encode(token[1:].replace(SPACE, " ") or "", num_threads=1)) if token != SPACE else 1
-        return len(self.sp.encode("\n" + token, num_threads=1)) - 2
-
     def __call__(self, arr: pa.Array) -> pa.Array:
         """Piece counts of texts without nulls."""
         marked = pc.replace_substring(arr, " ", SPACE)
