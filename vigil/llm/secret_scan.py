@@ -1,6 +1,6 @@
 """Secret scans: candidates judged by a random forest. DataFrame functions only on the main path.
 
-Candidates are long runs of key characters with a digit. A random forest on their length, character transitions, dictionary
+Candidates are all long runs of key characters in a word that hold a digit or change case often. A random forest on their length, character transitions, dictionary
 coverage, path signs and neighbouring words sorts out false positives. It is trained from labelled findings (their features
 are worked out by the same expressions) in numpy and becomes one SQL expression.
 """
@@ -26,13 +26,14 @@ TREES, DEPTH = 15, 6
 
 
 def candidates(text: Column) -> Column:
-    """Array of (at, match, before, after): the word's place in the text, and up to two words before it and one behind it."""
+    """Array of (at, word, match, before, after): the word's place in the text, a run in it, up to two words before it and one behind it."""
     w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    return F.transform(
-        F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda c: (F.length(c["word"]) >= 16) & c["word"].rlike(RUN) & F.regexp_extract(c["word"], RUN, 1).rlike("[0-9]")),
-        lambda c: F.struct(c["at"].alias("at"), c["word"].alias("word"), F.regexp_extract(c["word"], RUN, 1).alias("match"),
-                           F.concat_ws(" ", F.get(w, c["at"] - 2), F.get(w, c["at"] - 1)).alias("before"), F.coalesce(F.get(w, c["at"] + 1), F.lit("")).alias("after")),
-    )
+    long = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda c: (F.length(c["word"]) >= 16) & c["word"].rlike(RUN))
+    runs = lambda c: F.filter(F.regexp_extract_all(c["word"], F.lit(RUN), F.lit(1)), lambda m: m.rlike("[0-9]") | (F.regexp_count(m, F.lit("[a-z][A-Z]")) >= 3))
+    row = lambda c, m: F.struct(
+        c["at"].alias("at"), c["word"].alias("word"), m.alias("match"), F.concat_ws(" ", F.get(w, c["at"] - 2), F.get(w, c["at"] - 1)).alias("before"), F.coalesce(F.get(w, c["at"] + 1), F.lit("")).alias("after")
+    )
+    return F.flatten(F.transform(long, lambda c: F.transform(runs(c), lambda m: row(c, m))))
 
 
 def features(match: str = "match", word: str = "word", before: str = "before", after: str = "after") -> dict[str, Column]:
@@ -126,7 +127,11 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]], s
 
 
 def scan(docs: DataFrame, trees: list, threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, at (word, from 0), match, score, is_secret. Null and empty texts have none; rows that repeat repeat."""
+    """One row per candidate: doc_id, at (word, from 0), match, score, is_secret.
+
+    Null and empty texts have none; rows that repeat repeat; a null doc_id stays null; other columns are not used; an empty
+    table gives an empty result.
+    """
     found = docs.select("doc_id", F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).select("doc_id", "c.*")
     found = found.withColumn("f", F.struct(*[c.alias(k) for k, c in features().items()]))
     score = F.expr("(" + " + ".join(as_sql(t) for t in trees) + f") / {len(trees)}D")
