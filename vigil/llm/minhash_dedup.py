@@ -2,10 +2,10 @@
 
 Texts of equal shingle sets form a class, which one of them stands for. Classes that share a band of their signatures are
 candidates. First the members of some bands' groups meet their least member; what signatures and full sets confirm is joined
-(large-star and small-star). Groups within one component are done. In the others, members outside the main component meet a
-few pivots in turns, which a large group of near copies needs. At last those that are still outside meet the whole
-group in blocks, where sketches of the sets leave the pairs that may be linked. So no link that could join two components is
-lost, and no group emits all its pairs.
+(large-star and small-star). Groups within one component are done. In the others, members outside the main component (the
+largest that has a member there) meet a few pivots in turns, which a large group of near copies needs. At last those that are
+still outside meet the whole group in blocks, where sketches of the sets leave the pairs that may be linked. So no link that
+could join two components is lost, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hinted, mix, slices, split_words, stage, texts
+from ._common import hinted, mix, slices, split_words, stage, text_key, texts
 from .components import components
 
 BANDS, ROWS = 64, 8
@@ -30,10 +30,12 @@ CACHED = 1 << 16
 #: round has not made them fewer by a third.
 PIVOT_ROUNDS, PIVOTS, LEFT = 3, 4, 500
 #: Bands whose groups' members meet the least of them first.
-STAR_BANDS = 16
+STAR_BANDS = 4
 #: Hashes of a set that a sketch holds, and rows of a group on either side of a block, when the open pairs are checked.
 SKETCH, BLOCK = 2048, 512
-SCHEMA = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
+#: Groups (24 bytes each) that are broadcast at most.
+MOST_GROUPS = 500_000
+SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
 
 
 def _universal(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,12 @@ def shingle_sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(n + 1))
 
 
+def digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two sums of hashes of each set [n, 2]; all sets non-empty."""
+    size = np.diff(at).astype(np.uint64)
+    return np.stack([np.add.reduceat(mix(values ^ np.uint64(s)), at[:-1]) + size for s in (0x1234567, 0x89ABCDEF0)], axis=1)
+
+
 def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests of the sets [n, 2], bands [n, BANDS] and the low bytes of KEPT minima; all sets non-empty."""
     a, b = _universal()
@@ -94,9 +102,7 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for r in range(ROWS):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + minima[i * ROWS + r].astype(np.uint64))
         bands[i] = h
-    size = np.diff(at).astype(np.uint64)
-    digest = np.stack([np.add.reduceat(mix(values ^ np.uint64(s)), at[:-1]) + size for s in (0x1234567, 0x89ABCDEF0)], axis=1)
-    return digest, bands.T, (minima[:: BANDS * ROWS // KEPT].T & np.uint32(255)).astype(np.uint8)
+    return digests(values, at), bands.T, (minima[:: BANDS * ROWS // KEPT].T & np.uint32(255)).astype(np.uint8)
 
 
 def _signed(k: int):
@@ -104,7 +110,7 @@ def _signed(k: int):
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             start = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(2)):
                 values, at = shingle_sets(texts(part), k)
                 n, size = len(part), np.diff(at)
                 digest, bands, sig = np.zeros((n, 2), np.uint64), None, None
@@ -118,41 +124,53 @@ def _signed(k: int):
                 flat = bands.reshape(-1).view(np.int64) if bands is not None else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(band_offsets, pa.int32()), pa.array(flat))
                 d = digest.view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, pa.array(sigs, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, pa.array(sigs, pa.binary())], names=names)
                 start += n
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_classes(k: int):
+    """Slices of rows (id, d1, d2, text): ids, sorted sets and offsets of those whose set is their class's. (An id of a document may come with other texts.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for batch in batches:
             start = 0
-            for part in slices(batch.column(1)):
-                values, at = shingle_sets(texts(part), k)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), lists], names=["id", "own"])
+            for part in slices(batch.column(3)):
+                ids, d1, d2 = (batch.column(i).slice(start, len(part)) for i in range(3))
                 start += len(part)
+                values, at = shingle_sets(texts(part), k)
+                full = np.flatnonzero(np.diff(at))
+                if len(full):
+                    own = digests(values, np.append(at[full], len(values))).view(np.int64)
+                    good = (own[:, 0] == d1.to_numpy()[full]) & (own[:, 1] == d2.to_numpy()[full])
+                    keep = np.zeros(len(part), dtype=bool)
+                    keep[full[good]] = True
+                    yield ids.filter(pa.array(keep)), values[np.repeat(keep, np.diff(at))], np.concatenate(([0], np.cumsum(np.diff(at)[keep])))
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, values, at in _of_classes(k)(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], names=["id", "own"])
 
     return run
 
 
 def _sketched(k: int):
-    """Upper halves of a set's hashes, of those under 2^-level of the range only, so that about SKETCH are left at most."""
+    """A set's hashes, of those under 2^-level of the range only, so that about SKETCH are left at most; at level 0 the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start = 0
-            for part in slices(batch.column(1)):
-                values, at = shingle_sets(texts(part), k)
-                n = np.diff(at)
-                level = np.ceil(np.log2(np.maximum(n, 1) / SKETCH)).clip(0, 31).astype(np.int32)
-                own = np.repeat(level, n).astype(np.uint64)
-                keep = (values >> (np.uint64(63) - own)) <= np.uint64(1)
-                ends = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((values[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(n), pa.array(level), lists], names=["id", "n", "level", "sketch"])
-                start += len(part)
+        for ids, values, at in _of_classes(k)(batches):
+            n = np.diff(at)
+            level = np.ceil(np.log2(np.maximum(n, 1) / SKETCH)).clip(0, 31).astype(np.int32)
+            own = np.repeat(level, n).astype(np.uint64)
+            keep = (values >> (np.uint64(63) - own)) <= np.uint64(1)
+            ends = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(level), lists], names=["id", "n", "level", "sketch"])
 
     return run
 
@@ -160,7 +178,8 @@ def _sketched(k: int):
 def _meet(percent: int):
     """Of a block's rows: (asking row, row of another component) whose sketches allow the similarity.
 
-    Where they prove it, one row of that component stands for all. (More than two equal upper halves in a pair are as good as impossible.)
+    Whole sets prove it: then one row of that component stands for all, and the two components count as one from there on, so
+    that these pairs are fewer than the block's components.
     """
     least = percent / 100
 
@@ -174,10 +193,11 @@ def _meet(percent: int):
             lists = block.column("sketch").chunk(0)
             at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
             names, codes = np.unique(flat, return_inverse=True)
-            upper = flat.view(np.uint32)
+            upper = flat.view(np.uint64)
             mark = np.zeros(len(names), dtype=bool)
+            own_c = np.unique(col["c"], return_inverse=True)[1]
             for deep in np.unique(col["level"]).tolist():  # pairs of which this is the coarser sketch
-                inside = (upper >> np.uint32(31 - deep)) <= 1
+                inside = (upper >> np.uint64(63 - deep)) <= 1
                 total = np.concatenate(([0], np.cumsum(inside)))
                 size = total[at[1:]] - total[at[:-1]]
                 these = others[col["level"][others] <= deep]
@@ -193,14 +213,15 @@ def _meet(percent: int):
                     if deep:  # six standard deviations below
                         union = np.maximum(size[i] + lens - both, 1)
                         ok = both / union >= least - 6 * np.sqrt(least * (1 - least) / union)
-                    else:  # equal upper halves of different hashes can hide one or two
-                        ok = (100 + percent) * (both + 2) >= percent * (col["n"][i] + col["n"][these])
-                    ok &= (col["c"][these] != col["c"][i]) & ((col["level"][these] == deep) | (col["level"][i] == deep))
-                    if not deep:  # of those that are linked for sure, one of each component is enough
-                        sure = np.flatnonzero(ok & ((100 + percent) * (both - 2) >= percent * (col["n"][i] + col["n"][these])))
-                        _, first = np.unique(col["c"][these[sure]], return_index=True)
-                        ok &= ~np.isin(col["c"][these], col["c"][these[sure]])
-                        ok[sure[first]] = True
+                    else:
+                        ok = (100 + percent) * both >= percent * (col["n"][i] + col["n"][these])
+                    ok &= (own_c[these] != own_c[i]) & ((col["level"][these] == deep) | (col["level"][i] == deep))
+                    if not deep:  # of those that are linked, one of each component is enough
+                        linked = np.flatnonzero(ok)
+                        joined, first = np.unique(own_c[these[linked]], return_index=True)
+                        ok[:] = False
+                        ok[linked[first]] = True
+                        own_c[np.isin(own_c, joined)] = own_c[i]
                     found_b.append(col["id"][these[ok]])
                     found_a.append(np.full(len(found_b[-1]), col["id"][i]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
@@ -232,15 +253,22 @@ class _Linker:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
         self.marks = stage(self.docs.mapInArrow(_signed(k), SCHEMA), "signatures")
+        # a class's id is a number of its own: a document's may come with several texts
         self.classes = stage(
             self.marks.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
-            .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
+            .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+            .withColumn("id", F.monotonically_increasing_id()),
             "classes",
         )
         self.labels = None  # node, component
-        self.groups = None  # open ones
+        self.rows = self.outs = None  # of groups that hold more than one component
+
+    def texts_of(self, ids: DataFrame, most: int | None = None) -> DataFrame:
+        """id, d1, d2, text of some classes (id). most: how many they are at most, if that has been counted."""
+        own = self.classes.join(ids, "id").select("id", "d1", "d2", "doc_id")
+        return self.docs.join(own if most is None else hinted(own, most, 1_000_000), "doc_id").select("id", "d1", "d2", "text")
 
     def stars(self) -> DataFrame:
         """Pairs (a, b): each member of a group of the first STAR_BANDS bands with the group's least member."""
@@ -259,8 +287,8 @@ class _Linker:
         n = near.count()
         if not n:
             return
-        ids = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
-        sets = stage(self.docs.join(hinted(ids, 2 * n, 2_000_000), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(self.k), "id bigint, own array<bigint>"), "sets")
+        ids = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
+        sets = stage(self.texts_of(ids, 2 * n).mapInArrow(_sets(self.k), "id bigint, own array<bigint>").dropDuplicates(["id"]), "sets")
         a, b = sets.select(F.col("id").alias("u"), F.col("own").alias("own_u")), sets.select(F.col("id").alias("v"), F.col("own").alias("own_v"))
         linked = stage(near.join(a, "u").join(b, "v").select("u", "v", "own_u", "own_v").mapInArrow(_alike(self.percent), "u bigint, v bigint"), "links")
         if linked.limit(1).count():
@@ -268,66 +296,96 @@ class _Linker:
             self.labels = stage(components(linked if stars is None else linked.unionByName(stars)), "labels")
 
     def open(self) -> int:
-        """Leave only the groups that hold more than one component: band, id, c (its component), main (the group's largest).
+        """Find the groups that hold more than one component. rows: band, id and whether it is outside the main component; outs: those outside.
 
-        Returns how many pairs of members outside the main component with any member there are at most.
+        Returns how many pairs of members outside with any member there are at most.
         """
-        cells = self.classes.select("id", F.col("id").alias("c"), "bands")
+        own = self.classes.select("id", F.col("id").alias("c"), F.lit(1).cast("bigint").alias("weight"), "bands")
         if self.labels is not None:
-            cells = self.classes.join(self.labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "bands")
-        rows = cells.select("id", "c", F.explode("bands").alias("band"))
-        whole = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("members")).where("lo < hi")
-        once = whole.groupBy("size", "least", "members").agg(F.min("band").alias("band"))  # of bands with the same members one is enough
-        rows = stage(rows.join(once.select("band"), "band").select("band", "id", "c"), "mixed")
-        mixed = rows.groupBy("band", "c").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"))
-        self.groups = stage(rows.join(mixed.select("band", "main", "size"), "band"), "open")
-        return self.groups.where("c <> main").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            weights = self.labels.groupBy("component").agg(F.count("*").alias("weight"))
+            known = self.labels.join(weights, "component").select(F.col("node").alias("id"), "component", "weight")
+            own = self.classes.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.coalesce("weight", F.lit(1)).alias("weight"), "bands")
+        cells = own.select("id", "c", "weight", F.explode("bands").alias("band"))
+        groups = cells.groupBy("band").agg(
+            F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("weight", "c"))["c"].alias("main"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("members")
+        ).where("lo < hi")
+        # of bands with the same members one is enough
+        groups = stage(groups.groupBy("size", "least", "members", "main").agg(F.min("band").alias("band")).select("band", "main", "size"), "groups")
+        n = groups.count()
+        if not n:
+            return 0
+        self.rows = stage(cells.drop("weight").join(hinted(groups, n, MOST_GROUPS), "band").withColumn("out", F.col("c") != F.col("main")), "rows")
+        self.outs = self.rows.where("out").drop("out")
+        return self.work()
+
+    def work(self) -> int:
+        return self.outs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    def reopen(self) -> int:
+        """After more links: who is still outside. What was in the main component stays there, so that only others are looked up."""
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now"))
+        now = self.outs.withColumnsRenamed({"c": "was", "main": "own"}).join(of("was"), "was", "left").join(of("own"), "own", "left")
+        now = now.select("band", "id", F.coalesce("was_now", "was").alias("c"), F.coalesce("own_now", "own").alias("main"), "size")
+        self.outs = stage(now.where("c <> main"), "outs")
+        return self.work()
 
     def pivots(self, turn: int) -> DataFrame:
-        """Pairs (a, b): each member outside its group's main component, in the largest of its groups, with a few of that group."""
-        few = self.groups.where("c <> main").groupBy("id").agg(F.max(F.struct("size", "band", "c")).alias("g"))
-        few = few.select(F.col("g.band").alias("band"), F.col("id").alias("a"), F.col("g.c").alias("ca"))
-        # each pivot is the least by a hash of a share of the group
+        """Pairs (a, b): each member outside its group's main component, in the largest of its groups, with a few of that component there."""
+        few = self.outs.groupBy("id").agg(F.max_by("band", F.struct("size", "band")).alias("band")).withColumnRenamed("id", "a")
+        # each pivot is the least by a hash of a share of the component's members
         part = F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")
-        some = self.groups.groupBy("band", part).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("p"))
-        some = some.select("band", F.col("p.id").alias("b"), F.col("p.c").alias("cb"))
-        return few.join(some, "band").where("ca <> cb").select("a", "b")
+        some = self.rows.where("not out").groupBy("band", part).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id"))["id"].alias("b"))
+        return few.join(some, "band").select("a", "b")
 
     def rest(self) -> DataFrame:
         """Pairs (a, b) across components of a group that their sketches don't rule out, for every member outside the main component.
 
         Such members meet the whole group in blocks of BLOCK by BLOCK, in one task each, which gives back only what may be linked.
+        The cells of an id (one for each of its bands at most) are gathered first, so that its sketch moves once.
         """
-        members = self.groups.select(F.col("id").alias("doc_id")).distinct()
-        sketches = self.docs.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sketched(self.k), "id bigint, n bigint, level int, sketch array<int>")
-        per = self.groups.groupBy("band").agg(F.count("*").alias("all"), F.count(F.when(F.col("c") != F.col("main"), 1)).alias("out"))
-        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-        rows = self.groups.join(per.select("band", blocks("all").alias("ms"), blocks("out").alias("os")), "band").withColumn("h", F.xxhash64("id"))
-        some = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        member = rows.select("band", "id", "c", F.lit(False).alias("asks"), some("ms").alias("m"), every("os").alias("o"))
-        asker = rows.where("c <> main").select("band", "id", "c", F.lit(True).alias("asks"), every("ms").alias("m"), some("os").alias("o"))
-        return member.unionByName(asker).join(sketches, "id").groupBy("band", "m", "o").applyInArrow(_meet(self.percent), "a bigint, b bigint")
+        main = F.lit(-1).cast("bigint")  # members of the main component need not tell which it is
+        inside = self.rows.where("not out").select("band", "id", main.alias("c"), F.lit(False).alias("asks"), "size")
+        outside = self.outs.select("band", "id", "c", F.lit(True).alias("asks"), "size")
+        joined = self.rows.where("out").select("band", "id").join(self.outs.select("band", "id"), ["band", "id"], "left_anti")  # by now in the main component
+        per = stage(self.outs.groupBy("band").agg(F.max("size").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("os")), "per")
+        inside = inside.unionByName(joined.join(per.select("band", "size"), "band").select("band", "id", main.alias("c"), F.lit(False).alias("asks"), "size"))
+        if per.where("os > 1").limit(1).count() or self.rows.where("out").count() > self.outs.count():
+            every = inside.unionByName(outside).drop("size").join(per, "band")
+        else:  # all groups are still open, and what is outside of each is one block
+            every = inside.unionByName(outside).withColumn("os", F.lit(1))
+        cells = every.groupBy("id").agg(F.collect_list(F.struct("band", "c", "asks", F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"), "os")).alias("cells"))
+        sketches = self.texts_of(cells.select("id")).mapInArrow(_sketched(self.k), "id bigint, n bigint, level int, sketch array<bigint>").dropDuplicates(["id"])
+        rows = sketches.join(cells, "id").select("id", "n", "level", "sketch", F.explode("cells").alias("cell")).select("id", "n", "level", "sketch", "cell.*")
+        h = F.xxhash64("id")
+        span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        as_member = F.transform(span("os"), lambda o: F.struct(F.lit(False).alias("asks"), F.pmod(h, "ms").cast("int").alias("m"), o.alias("o")))
+        as_asker = F.transform(span("ms"), lambda m: F.struct(F.lit(True).alias("asks"), m.alias("m"), F.pmod(h, "os").cast("int").alias("o")))
+        places = F.when(F.col("asks"), F.concat(as_member, as_asker)).otherwise(as_member)
+        rows = rows.select("id", "n", "level", "sketch", "band", "c", F.explode(places).alias("at")).select("id", "n", "level", "sketch", "band", "c", "at.*")
+        return rows.groupBy("band", "m", "o").applyInArrow(_meet(self.percent), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
         self.link(self.stars())
-        before = None
-        for turn in range(PIVOT_ROUNDS + 1):
-            work = self.open()
-            if not work:
-                break
-            if turn == PIVOT_ROUNDS or work <= LEFT * self.classes.count() or (before is not None and work > before * 2 / 3):
-                self.link(self.rest())
+        work, few = self.open(), LEFT * self.classes.count()
+        for turn in range(PIVOT_ROUNDS):
+            if work <= few:
                 break
             before = work
             self.link(self.pivots(turn))
-        rep = self.classes.select("d1", "d2", F.col("id").alias("rep"))
+            work = self.reopen()
+            if work > before * 2 / 3:
+                break
+        if work:
+            self.link(self.rest())
+        rep = self.classes.select("id", "d1", "d2", F.col("doc_id").alias("rep"))
         if self.labels is not None:
-            rep = rep.join(self.labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("rep"))
+            own = self.labels.join(rep.select(F.col("id").alias("node"), "rep"), "node")
+            least = own.groupBy("component").agg(F.min("rep").alias("least"))
+            rep = rep.join(own.join(least, "component").select(F.col("node").alias("id"), "least"), "id", "left").select("d1", "d2", F.coalesce("least", "rep").alias("rep"))
         # the classes' share of rows may be hot: a skewed join
-        rows = self.marks.select("doc_id", "n_shingles", "d1", "d2")
-        grouped = rows.where("n_shingles > 0 and doc_id is not null").join(rep, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-        alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        rows = self.marks.select("doc_id", "text_key", "n_shingles", "d1", "d2")
+        grouped = rows.where("n_shingles > 0 and doc_id is not null").join(rep.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "text_key", "n_shingles", F.col("rep").alias("component_id"))
+        alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
         return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -352,12 +410,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of k-word shingles (A-Z lower-cased, words
     between ASCII white space; fewer words are one shingle). Null and empty texts have no shingle and no link. Rows with a null
-    doc_id are linked with nothing and stay. Rows that repeat are in one component and stay or go together.
+    doc_id are linked with nothing and stay. Rows that repeat are in one component and stay or go together; rows of one doc_id
+    with different texts are documents of their own. An empty table gives an empty result; other columns are not used.
     """
-    return _Linker(docs, k, percent).run()
+    return _Linker(docs, k, percent).run().drop("text_key")
 
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, with their columns: the smallest doc_id of each component, and what is linked with nothing."""
-    gone = near_groups(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left_anti")
+    """The rows of docs that stay, with their columns: those of the smallest doc_id of each component, and what is linked with nothing."""
+    gone = _Linker(docs, k, percent).run().where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("bigint") == F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
