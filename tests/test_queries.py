@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from vigil.registry import ORACLES, QUERIES
+from vigil import registry, registry_life
 
+QUERIES, ORACLES = registry.QUERIES | registry_life.QUERIES, registry.ORACLES | registry_life.ORACLES
 DIR = "/root/testdata/sf0.001"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .canonical import array_json, canonical_json, sha256_hex
 
 NAMESPACE = "vg"
-VERSIONS = {"event": 1, "occurrence": 1, "direct-dispatch": 2, "branch": 2, "partition": 1, "instance": 3, "batch": 2, "run": 2, "wake": 2, "input": 1}
+VERSIONS = {"event": 1, "occurrence": 1, "direct-dispatch": 2, "branch": 2, "partition": 1, "instance": 3, "batch": 2, "run": 2, "wake": 2, "input": 1, "config": 1, "owner": 1}
 
 
 class ConflictError(ValueError):
@@ -107,8 +107,19 @@ def wake_key(run: Column, route: Column) -> Column:
     return key_column("wake", run, route)
 
 
+def owner_key(config: Column, instance: Column) -> Column:
+    """Who owns a stream's state: under another configuration the stream has another owner, and nothing is carried over."""
+    return key_column("owner", config, instance)
+
+
+def lineage_fault(k: Column, parents: Column, events: Column) -> Column:
+    """What is wrong with a lineage, as a Column; null if it is distinct, rooted and without itself."""
+    distinct = (F.size(F.array_distinct(parents)) == F.size(parents)) & (F.size(F.array_distinct(events)) == F.size(events))
+    return F.when(F.size(events) < 1, "no root event").when(~distinct, "repeated key").when(F.array_contains(parents, k), "its own parent")
+
+
 def is_key(col: Column, kind: str) -> Column:
-    return col.rlike(f"^{re.escape(domain(kind))}:[0-9a-f]{{64}}$")
+    return col.rlike(f"^{re.escape(domain(kind))}:[0-9a-f]{{64}}\\z")
 
 
 def parse_key(text: str, kind: str) -> str:

@@ -68,6 +68,15 @@ def _plan(rule: Rule) -> Column:
     )
 
 
+def _logical() -> dict[str, Column]:
+    """What a branch's hash is of: JSON name -> canonical text."""
+    text = {
+        "applicationId": "application_id", "tenantId": "tenant_id", "partitionKey": "partition_key", "eventKey": "event_key", "occurrenceKey": "occurrence_key", "sourceInputHash": "input_hash",
+        "monitorId": "monitor_id", "definitionVersion": "definition_version", "phase": "phase", "correlationKey": "correlation_key", "orderKey": "order_key", "mode": "mode",
+    }
+    return {k: string_json(F.col(c)) for k, c in text.items()} | {"canonicalizationVersion": F.col("canonicalization_version").cast("string"), "event": F.col("event_json"), "policy": F.col("policy_json")}
+
+
 def fan_out(events: DataFrame, rules: Rules) -> DataFrame:
     """One row per event and rule that fits, with branch_key, instance_key, branch_hash, bytes and problem (null if sound).
 
@@ -82,11 +91,7 @@ def fan_out(events: DataFrame, rules: Rules) -> DataFrame:
     cell = partition_cell_key(*[F.col(c) for c in ("application_id", "tenant_id", "channel_id", "installation_id", "partition_key")])
     df = df.withColumn("branch_key", branch_key(*[F.col(c) for c in ("occurrence_key", "monitor_id", "definition_version", "phase", "correlation_key")]))
     df = df.withColumn("instance_key", instance_key(cell, F.col("monitor_id"), F.col("definition_version"), F.col("correlation_key")))
-    text = {
-        "applicationId": "application_id", "tenantId": "tenant_id", "partitionKey": "partition_key", "eventKey": "event_key", "occurrenceKey": "occurrence_key", "sourceInputHash": "input_hash",
-        "monitorId": "monitor_id", "definitionVersion": "definition_version", "phase": "phase", "correlationKey": "correlation_key", "orderKey": "order_key", "mode": "mode",
-    }
-    logical = {k: string_json(F.col(c)) for k, c in text.items()} | {"canonicalizationVersion": F.col("canonicalization_version").cast("string"), "event": F.col("event_json"), "policy": F.col("policy_json")}
+    logical = _logical()
     df = df.withColumn("branch_hash", input_hash_column(object_json(logical)))
     whole = object_json(logical | {"branchKey": string_json(F.col("branch_key")), "inputHash": string_json(F.col("branch_hash"))})
     df = df.withColumn("bytes", F.octet_length(whole).cast("bigint"))
@@ -126,6 +131,18 @@ def verify_fanout(branches: DataFrame) -> DataFrame:
     return branches.select("branch_key", fault.alias("fault")).where("fault is not null")
 
 
+def verify_handoff(branches: DataFrame, append_hashes: DataFrame | None = None) -> DataFrame:
+    """branch_key, fault: rows whose content does not have the hash they carry, or, with append_hashes (of stream_appends at the sender), whose append is another."""
+    fault = F.when(input_hash_column(object_json(_logical())) != F.col("branch_hash"), "branch hash")
+    if append_hashes is None:
+        return branches.select("branch_key", fault.alias("fault")).where("fault is not null")
+    sent = append_hashes.select("instance_key", "event_key", F.col("append_hash").alias("__sent"))
+    got = stream_appends(branches).select("instance_key", "event_key", "append_hash")
+    odd = got.join(sent, ["instance_key", "event_key"], "left").where(~F.col("append_hash").eqNullSafe(F.col("__sent"))).select("instance_key", "event_key", F.lit(True).alias("__odd"))
+    df = branches.join(odd, ["instance_key", "event_key"], "left")
+    return df.select("branch_key", F.coalesce(fault, F.when(F.col("__odd"), "append hash")).alias("fault")).where("fault is not null")
+
+
 def batch_order() -> Column:
     """Sort key of branches within a batch: order key in UTF-16 code units, then event key, then branch key."""
     return F.struct(utf16(F.col("order_key")).alias("o"), "event_key", "branch_key")

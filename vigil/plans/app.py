@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import direct_key
+from ..functions.identity import direct_key, key
 from ..functions.scalars import is_blank
 from ..operators.channel import Channel
 from ..operators.policy import Limits
@@ -25,6 +25,15 @@ class Route:
     deliver: Callable | None = None
 
 
+def config_key(application_id: str, channels: dict[str, int], rules: list[Rule], routes: list[str], limits: Limits) -> str:
+    """Fingerprint of what decides a stream's state: channels (name -> version), rules with their policies and expressions, routes and limits."""
+    own = [
+        {"id": r.id, "version": r.version, "channel": r.channel, "policy": r.policy.value(), "matches": r.matches, "correlation": r.correlation_key, "order": r.order_key, "mode": r.mode, "phase": r.phase}
+        for r in sorted(rules, key=lambda r: (r.id, r.version))
+    ]
+    return key("config", application_id, sorted(map(list, channels.items())), own, sorted(routes), asdict(limits))
+
+
 class App:
     def __init__(self, application_id: str, channels: list[Channel], rules: list[Rule], routes: list[Route], limits: Limits = Limits()):  # noqa: B008
         if is_blank(application_id) or not rules or not channels:
@@ -37,6 +46,13 @@ class App:
         if missing := {r.channel for r in rules} - set(self.channels):
             raise ValueError(f"rules of unknown channels: {sorted(missing)}")
 
+    def config_key(self) -> str:
+        return config_key(self.id, {c.name: c.version for c in self.channels.values()}, self.rules.all, list(self.routes), self.limits)
+
+    def checkpoint(self, base: str) -> str:
+        """The checkpoint folder of this configuration: a changed one begins anew beside the old."""
+        return f"{base.rstrip('/')}/{self.config_key().rsplit(':', 1)[-1]}"
+
     def events(self, raw: dict[str, DataFrame], accepted_ms: Column | None = None) -> DataFrame:
         """Accepted events of all given channels (name -> raw rows); those that fail validation are in rejects()."""
         out = None

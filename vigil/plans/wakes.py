@@ -72,3 +72,13 @@ def message(wake_rows: DataFrame) -> DataFrame:
         "kind": F.lit('"attention"'), "applicationId": s("application_id"), "tenantId": s("tenant_id"), "monitorId": s("monitor_id"), "definitionVersion": s("definition_version"), "correlationKey": s("correlation_key"),
         "wakeKey": s("wake_key"), "runKey": s("run_key"), "batchKey": s("batch_key"), "rootEventKeys": F.to_json("root_event_keys"), "target": F.col("target"), "task": task, "decision": F.col("decision"), "evidence": seen,
     }))
+
+
+def requests(wake_rows: DataFrame, address: str, state: str = "'{}'", auth: str | None = None) -> DataFrame:
+    """What an agent session is sent for each wake: wake_key, idempotency_key, turn_policy, address, state, auth, message.
+
+    address, state and auth are SQL over a wake's row (a literal is a constant). One turn waits for the other in a session.
+    """
+    df = message(wake_rows.where("status = 'deliver'"))
+    own = F.lit(None).cast("string") if auth is None else F.expr(auth).cast("string")
+    return df.select("wake_key", F.col("wake_key").alias("idempotency_key"), F.lit("queue").alias("turn_policy"), F.expr(address).cast("string").alias("address"), F.expr(state).cast("string").alias("state"), own.alias("auth"), "message")

@@ -35,7 +35,7 @@ def one_per_pull_request(raw: DataFrame) -> DataFrame:
     own = F.array(F.struct(_at("pull_request.number").cast("bigint").alias("number")))
     none = F.array().cast("array<struct<number:bigint>>")
     numbers = F.when(F.col("event") == "check_suite", F.coalesce(pulls, none)).when(F.col("event") == "pull_request", own).otherwise(none)
-    return raw.withColumn("pull", F.explode(F.col("__n.number"))).drop("__n") if "__n" in raw.columns else raw.withColumn("__n", numbers).withColumn("pull", F.explode("__n.number")).drop("__n")
+    return raw.withColumn("pull", F.explode(F.transform(numbers, lambda x: x["number"])))
 
 
 def _part(name: str) -> Column:
