@@ -24,26 +24,32 @@ from ..plans.wakes import decided, runs
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 OUTPUT = "instance_key string, row string"
+#: What the state keeps of a row.
+INPUT = [*ROW, "policy_json", "body"]
 
 
 class StreamProcessor(StatefulProcessor):
-    """Appends a key's rows in order and fires what is due; the state is the mailbox as JSON."""
+    """Appends a key's rows in order and fires what is due; the state is the mailbox as JSON, and the rows that wait for room in it.
 
-    def __init__(self, policies: dict, routes: list[str], recent: int):
-        self.policies, self.routes, self.recent = policies, routes, recent
+    A row is admitted when what is pending leaves room for it (Limits.max_pending_branches and max_pending_bytes); else it waits,
+    with all that come after it, and is accepted at the time at which due work has made room.
+    """
+
+    def __init__(self, policies: dict, routes: list[str], limits: Limits):
+        self.policies, self.routes, self.limits = policies, routes, limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("box", "value string")
 
-    def _load(self) -> tuple[Mailbox | None, dict | None]:
+    def _load(self) -> tuple[Mailbox | None, dict | None, list[dict]]:
         if not self.state.exists():
-            return None, None
+            return None, None, []
         d = json.loads(self.state.get()[0])
-        return Mailbox.load(d["box"]), d["stream"]
+        return Mailbox.load(d["box"]), d["stream"], d["waiting"]
 
-    def _store(self, box: Mailbox, stream: dict) -> None:
-        self.state.update((json.dumps({"box": box.dump(), "stream": stream}),))
+    def _store(self, box: Mailbox, stream: dict, waiting: list[dict]) -> None:
+        self.state.update((json.dumps({"box": box.dump(), "stream": stream, "waiting": waiting}),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         if (due := box.due()) is not None:
@@ -54,6 +60,30 @@ class StreamProcessor(StatefulProcessor):
         of = (lambda batch: None) if decide is None else (lambda batch: checked(decide(BatchView(batch, **stream)), self.routes))
         return [batch_row(stream, batch, outcome) for batch, outcome in settle(box, until, of)]
 
+    def _append(self, box: Mailbox, stream: dict, r: dict, at: int) -> list[dict]:
+        try:
+            status, first = box.append(r["event_key"], r["branch_hash"], [self._branch(r)], at, r["policy_json"] + r["mode"])
+        except ConflictError as e:  # reported beside the batches; the stream goes on
+            return [note_row(stream, "conflict", at, r["event_key"], r["branch_key"], e.namespace)]
+        return [note_row(stream, "duplicate", first, r["event_key"], r["branch_key"], None)] if status == "duplicate" else []
+
+    @staticmethod
+    def _branch(r: dict) -> Branch:
+        return Branch(r["branch_key"], r["branch_hash"], r["event_key"], r["order_key"], int(r["bytes"]), r["body"])
+
+    def _fits(self, box: Mailbox, r: dict) -> bool:
+        """An event that the ring knows needs no room; into an empty mailbox anything goes."""
+        return r["event_key"] in box.ring or not box.ledger or box.fits([self._branch(r)], self.limits)
+
+    def _until(self, box: Mailbox, stream: dict, waiting: list[dict], until: int) -> list[dict]:
+        """Fire what is due before `until`; rows that wait are appended as soon as a firing has made room."""
+        out: list[dict] = []
+        while waiting and (due := box.due()) is not None and due < until:
+            out += self._settled(box, stream, due + 1)
+            while waiting and self._fits(box, waiting[0]):
+                out += self._append(box, stream, waiting.pop(0), due)
+        return out + self._settled(box, stream, until)
+
     @staticmethod
     def _frame(key, rows: list[dict]):
         import pandas as pd
@@ -64,31 +94,28 @@ class StreamProcessor(StatefulProcessor):
         import pandas as pd
 
         frame = pd.concat(list(rows)).sort_values(["accepted_ms", "event_key", "branch_hash"], kind="stable")  # a trigger's rows of one key
-        box, stream = self._load()
+        box, stream, waiting = self._load()
         out: list[dict] = []
-        for r in frame.to_dict("records"):
+        for r in frame[INPUT].astype(object).to_dict("records"):
+            r["accepted_ms"], r["bytes"] = int(r["accepted_ms"]), int(r["bytes"])
             if box is None:
                 stream = {c: r[c] for c in STREAM}
-                box = Mailbox(r["instance_key"], self.policies[r["monitor_id"], r["definition_version"]][0], r["policy_json"] + r["mode"], (), r["mode"], self.recent)
-            at = int(r["accepted_ms"])
-            out += self._settled(box, stream, at)
-            try:
-                branch = Branch(r["branch_key"], r["branch_hash"], r["event_key"], r["order_key"], int(r["bytes"]), r["body"])
-                status, first = box.append(r["event_key"], r["branch_hash"], [branch], at, r["policy_json"] + r["mode"])
-                if status == "duplicate":
-                    out.append(note_row(stream, "duplicate", first, r["event_key"], r["branch_key"], None))
-            except ConflictError as e:  # reported beside the batches; the stream goes on
-                out.append(note_row(stream, "conflict", at, r["event_key"], r["branch_key"], e.namespace))
-        self._store(box, stream)
+                box = Mailbox(r["instance_key"], self.policies[r["monitor_id"], r["definition_version"]][0], r["policy_json"] + r["mode"], (), r["mode"], self.limits.recent_events)
+            out += self._until(box, stream, waiting, r["accepted_ms"])
+            if waiting or not self._fits(box, r):
+                waiting.append(r)
+            else:
+                out += self._append(box, stream, r, r["accepted_ms"])
+        self._store(box, stream, waiting)
         if out:
             yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        box, stream = self._load()
+        box, stream, waiting = self._load()
         if box is None:
             return
-        out = self._settled(box, stream, expiredTimerInfo.getExpiryTimeInMs() + 1)  # what is due at that time, and nothing later
-        self._store(box, stream)
+        out = self._until(box, stream, waiting, expiredTimerInfo.getExpiryTimeInMs() + 1)  # what is due at that time, and nothing later
+        self._store(box, stream, waiting)
         if out:
             yield self._frame(key, out)
 
@@ -101,7 +128,7 @@ def stream_batches(branches: DataFrame, rules: Rules, routes: list[str], limits:
     policies = {(r.id, r.version): (r.policy, r.decider()) for r in rules.all}
     rows = branches.where("problem is null").select(*ROW, "policy_json", F.col("event_json").alias("body"), F.timestamp_millis("accepted_ms").alias("accepted_at"))
     out = rows.withWatermark("accepted_at", delay).groupBy("instance_key").transformWithStateInPandas(
-        statefulProcessor=StreamProcessor(policies, list(routes), limits.recent_events), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+        statefulProcessor=StreamProcessor(policies, list(routes), limits), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
     )
     return out.select(F.from_json("row", FOLDED).alias("r")).select("r.*")
 
@@ -113,21 +140,37 @@ def stream_runs(app: App, raw: dict[str, DataFrame]) -> DataFrame:
     return runs(decided(keyed(folded), app.rules, list(app.routes)), app.limits)
 
 
-def wake_table(path: str, deliver: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each trigger's new wakes in a folder of its own, so that a trigger that is repeated replaces it.
+def wake_table(path: str, deliver: Callable[[DataFrame], None] | None = None, buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of wakes to deliver, under `path`: wakes/bucket=b/trigger=n and conflicts/trigger=n.
 
-    Wakes whose key an earlier trigger has are left out. deliver(frame) is called after the checkpoint, with what was written.
+    A wake whose key an earlier trigger has is left out, and goes to the conflicts if its content differs; so does all but the
+    least content of a key within a trigger. Only the buckets that a trigger's keys fall into are read, and a trigger that is
+    repeated replaces what it wrote. deliver(frame) is called when all is written, with the new wakes.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        mine, earlier = f"{path}/trigger={batch_id}", spark.range(0).select(F.lit("").alias("wake_key"), F.lit(0).alias("trigger")).where("false")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            earlier = spark.read.parquet(path).where(F.col("trigger") < batch_id).select("wake_key", "trigger")
-        new = df.where("status = 'deliver'").select("wake_key", "input_hash", "route_id", "wake").dropDuplicates(["wake_key"])
-        new.join(earlier.select("wake_key"), "wake_key", "left_anti").write.mode("overwrite").parquet(mine)
+        folder = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        bucket = F.pmod(F.xxhash64("wake_key"), F.lit(buckets)).cast("int").alias("bucket")
+        staged = f"{path}/staged/trigger={batch_id}"  # the micro-batch is worked out once
+        df.where("status = 'deliver'").select("wake_key", "input_hash", "route_id", "wake", bucket).write.mode("overwrite").parquet(staged)
+        new = spark.read.parquet(staged)
+        touched = [f"{path}/wakes/bucket={r[0]}" for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+        there = [x for x in touched if files.exists(folder(x))]
+        held = spark.range(0).selectExpr("'' as wake_key", "'' as existing")
+        if there:
+            held = spark.read.option("basePath", f"{path}/wakes").parquet(*there).where(F.col("trigger") < batch_id).select("wake_key", F.col("input_hash").alias("existing"))
+        first = new.groupBy("wake_key").agg(F.min(F.struct("input_hash", "route_id", "wake", "bucket")).alias("w")).select("wake_key", "w.*")
+        fresh = first.join(held, "wake_key", "left_anti").withColumn("trigger", F.lit(batch_id))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "trigger").parquet(f"{path}/wakes")
+        known = first.join(held, "wake_key", "left").select("wake_key", F.coalesce("existing", "input_hash").alias("existing"))
+        odd = new.select("wake_key", F.col("input_hash").alias("received")).distinct().join(known, "wake_key").where("existing <> received")
+        odd.write.mode("overwrite").parquet(f"{path}/conflicts/trigger={batch_id}")
         if deliver:
-            deliver(spark.read.parquet(mine))
+            there = [x for x in touched if files.exists(folder(f"{x}/trigger={batch_id}"))]
+            if there:
+                deliver(spark.read.option("basePath", f"{path}/wakes").parquet(*[f"{x}/trigger={batch_id}" for x in there]).select("wake_key", "input_hash", "route_id", "wake"))
+        files.delete(folder(staged), True)
 
     return write
