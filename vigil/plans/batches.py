@@ -21,6 +21,7 @@ from ..operators.mailbox import Branch, Mailbox, settle
 from ..operators.outcomes import BatchView, Decision, checked
 from ..operators.policy import Limits, Policy
 from ..operators.rules import Rule, Rules
+from ..sources.tables import stored
 
 #: Streams are cut at these times first, so that no window has to hold a whole stream.
 SLICE_MS = 86_400_000
@@ -145,8 +146,11 @@ def replay(branches: DataFrame, rules: Rules, routes: list[str] = ("default",),
     A rule with a Python `decide` has its outcome in the row; one with a Decision has none yet (see plans.wakes). A Decision
     cannot feed a cooldown back, so a rule with a cooldown needs a Python `decide`. unique: the caller vouches that no stream
     has an event twice, which saves a shuffle. An empty input gives an empty result.
+
+    Where rows are needed more than once they are written first, so that keys and hashes are worked out once and later passes
+    read only the columns they need.
     """
-    rows = branches.where("problem is null")
+    rows = branches.where("problem is null").select(*ROW, "policy_json", "event_json")
     parts = []
     calm: list[Rule] = []
     for r in rules.all:
@@ -166,6 +170,9 @@ def replay(branches: DataFrame, rules: Rules, routes: list[str] = ("default",),
 
     whole = rows.where(~of(calm)) if len(calm) < len(rules.all) else None
     if calm:
+        if not unique or any(r.policy.mode == "debounce" for r in calm):
+            rows = stored(rows, "branches")
+            whole = rows.where(~of(calm)) if whole is not None else None
         free = rows.where(of(calm)) if whole is not None else rows
         if not unique:
             twice = _repeated(free)
