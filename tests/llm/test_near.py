@@ -66,3 +66,64 @@ def test_exact_copies(spark):
         same = [j for j, u in rows if (u or "") == (t or "")]
         r = got[i, hashlib.sha256((t or "").encode()).hexdigest()]
         assert (r.keep_id, r.group_size, r.kept) == (max(same), len(same), i == max(same))
+
+
+def rows_brute(rows, k):
+    """As brute(), with rows as nodes: (doc_id, set size, smallest doc_id reachable) of each."""
+    sets = [shingles(t, k) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for a, x in enumerate(sets):
+        counts = {}
+        for s in x:
+            for b in where[s]:
+                if b < a:
+                    counts[b] = counts.get(b, 0) + 1
+        for b, both in counts.items():
+            if rows[a][0] is not None and rows[b][0] is not None and 100 * both >= 80 * (len(x) + len(sets[b]) - both):
+                parent[root(a)] = root(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(((d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_near_repeated_ids_and_long_texts(spark):
+    r = random.Random(6)
+    say = lambda n: [r.choice([f"v{i}" for i in range(3000)]) for _ in range(n)]
+    rows = []
+    for g in range(3):  # sets of many more hashes than a sketch holds
+        base = say(9000)
+        for n in range(6):
+            w = list(base)
+            for _ in range(r.choice([0, 10, 300, 900])):
+                w[r.randrange(len(w))] = r.choice(say(1))
+            rows.append((100 * g + n, " ".join(w)))
+    short = say(40)
+    rows += [(50, " ".join(short)), (50, " ".join(say(40))), (50, " ".join(short)), (51, " ".join([*short[:-1], "x"])), (40, rows[-1][1]), (None, " ".join(short)), (None, None), (51, None)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, id int, band string").repartition(3)
+    got = near_groups(df, 2, 80).collect()
+    assert sorted(((g.doc_id, g.n_shingles, g.component_id) for g in got), key=str) == rows_brute(rows, 2)
+    want = sorted(((d, t) for d, t in rows for x in [next(g for g in got if g.doc_id == d and g.n_shingles == len(shingles(t, 2)))] if x.kept), key=str)
+    kept = drop_near(df, 2, 80)
+    assert kept.columns == df.columns and sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == want
+
+
+def test_recall_on_documents(spark):
+    """Every link of the test documents is found: classes equal those of all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for k in (2, 5):
+        got = sorted(((g.doc_id, g.n_shingles, g.component_id) for g in near_groups(docs, k, 80).collect()), key=str)
+        assert got == rows_brute(rows, k)
+        assert sum(d != c for d, _, c in got) > 20
