@@ -2,8 +2,9 @@
 
 Immediate rules without a cooldown need no state: a branch is a batch. Debounced rules without a cooldown forget all at a gap
 longer than the quiet period, so a stream is cut into sessions first, with windows over parts of a stream that are bounded in
-time, and sessions are what tasks share: one stream may hold most rows and still spread. Only rules with a cooldown, and
-streams that hold an event twice, are folded as a whole, row by row in order, in memory that does not grow with the stream.
+time, and sessions are what tasks share: one stream may hold most rows and still spread. With a cooldown a stream is idle after
+a gap of the quiet period and two cooldowns, unless batches that closed early queue up; where they may, sessions stay together.
+Only streams that hold an event twice are folded as a whole, row by row in order, in memory that does not grow with the stream.
 """
 
 from __future__ import annotations
@@ -135,6 +136,24 @@ def sessions(rows: DataFrame, quiet_ms: Column, slice_ms: int = SLICE_MS) -> Dat
     return cut.join(per.select(*key, "carried"), key).withColumn("session", F.coalesce("start", "carried")).drop("slice", "quiet", "first", "start", "carried")
 
 
+def idle_units(rows: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Rows of rules with a cooldown, with `session`: where a part of the stream began before which nothing was pending.
+
+    After a session's last event the open batch is frozen within max(quiet, cooldown), and what it starts is over a cooldown
+    later. Batches that closed for their events or bytes could queue behind it, so after a session that reaches either limit
+    the next one is no beginning.
+    """
+    of = lambda path: F.get_json_object("policy_json", f"$.{path}").cast("bigint")
+    gap = F.coalesce(of("buffer.quietPeriodMs"), F.lit(0)) + 2 * of("cooldownAfterWakeMs")
+    cut = sessions(rows, gap, slice_ms)
+    full = (F.count("*") >= F.first(of("buffer.maxEvents"))) | (F.sum("bytes") > F.first(of("buffer.maxBytes")))
+    per = cut.groupBy("instance_key", "session").agg(F.coalesce(full, F.lit(False)).alias("full"))
+    across = Window.partitionBy("instance_key").orderBy("session")
+    begins = F.when(~F.coalesce(F.lag("full").over(across), F.lit(False)), F.col("session"))
+    per = per.withColumn("begins", begins).withColumn("unit", F.last("begins", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.join(per.select("instance_key", "session", "unit"), ["instance_key", "session"]).drop("session").withColumnRenamed("unit", "session")
+
+
 def _repeated(rows: DataFrame) -> DataFrame:
     """Streams that hold an event more than once."""
     return rows.groupBy("instance_key", "event_key").agg(F.count("*").alias("n")).where("n > 1").select("instance_key").distinct()
@@ -168,26 +187,22 @@ def replay(branches: DataFrame, rules: Rules, routes: list[str] = ("default",),
         slim = df.select(*ROW, "policy_json", body, name)
         return slim.repartition("unit").sortWithinPartitions("unit", "accepted_ms", "event_key", "branch_hash").mapInArrow(_fold(policies, list(routes), limits.recent_events), FOLDED)
 
-    whole = rows.where(~of(calm)) if len(calm) < len(rules.all) else None
-    if calm:
-        if not unique or any(r.policy.mode == "debounce" for r in calm):
-            rows = stored(rows, "branches")
-            whole = rows.where(~of(calm)) if whole is not None else None
-        free = rows.where(of(calm)) if whole is not None else rows
-        if not unique:
-            twice = _repeated(free)
-            again = free.join(twice, "instance_key", "left_semi")
-            free = free.join(twice, "instance_key", "left_anti")
-            whole = again if whole is None else whole.unionByName(again)
-        now = [r for r in calm if r.policy.mode == "immediate"]
-        if now:
-            parts.append(_decided(_alone(free.where(of(now))), now, routes))
-        slow = [r for r in calm if r.policy.mode == "debounce"]
-        if slow:
-            quiet = F.get_json_object("policy_json", "$.buffer.quietPeriodMs").cast("bigint")
-            parts.append(fold(sessions(free.where(of(slow)) if now else free, quiet, slice_ms), ["instance_key", "session"]))
-    if whole is not None:
-        parts.append(fold(whole, ["instance_key"]))
+    cool = [r for r in rules.all if r.policy.cooldown_ms is not None]
+    now, slow = ([r for r in calm if r.policy.mode == mode] for mode in ("immediate", "debounce"))
+    if cool or slow or not unique:
+        rows = stored(rows, "branches")
+    if not unique:
+        twice = _repeated(rows)
+        parts.append(fold(rows.join(twice, "instance_key", "left_semi"), ["instance_key"]))
+        rows = rows.join(twice, "instance_key", "left_anti")
+    own = lambda rs: rows if len(rs) == len(rules.all) else rows.where(of(rs))
+    if now:
+        parts.append(_decided(_alone(own(now)), now, routes))
+    if slow:
+        quiet = F.get_json_object("policy_json", "$.buffer.quietPeriodMs").cast("bigint")
+        parts.append(fold(sessions(own(slow), quiet, slice_ms), ["instance_key", "session"]))
+    if cool:
+        parts.append(fold(idle_units(own(cool), slice_ms), ["instance_key", "session"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
