@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,7 +38,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vigil-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key() -> Column:
@@ -126,6 +137,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give what a task has freed back to the system: Python workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that gives its memory back when it ends."""
+
+    def go(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go
+
+
 def text_udf(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str):
     """An Arrow UDF over whole texts: make() builds the function once in each task; it gets slices without nulls."""
     from pyspark.sql.functions import arrow_udf
@@ -136,6 +166,8 @@ def text_udf(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str):
         for batch in batches:
             parts = [work(texts(x)) for x in slices(batch)]
             yield pa.concat_arrays(parts) if parts else work(pa.array([], pa.large_string()))
+        del work
+        release()
 
     return run
 
@@ -153,19 +185,29 @@ def excerpt(text, most: int, piece: int = 4096):
     return F.when(n <= most, text).otherwise(F.array_join(pieces, " "))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, most_chars: int = 1 << 15) -> tuple[list[str], np.ndarray]:
-    """Texts and labels for training: the `most` labelled ids of the smallest hash that aren't held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, most_chars: int = 1 << 15) -> DataFrame:
+    """doc_id, text, y for training: the `most` labelled ids of the smallest hash that aren't held out.
 
-    Both bounds make the broadcast and the driver's copy safe at any size: at most `most` rows, and of a text of more than
+    Both bounds make the broadcast and the one training task safe at any size: at most `most` rows, and of a text of more than
     `most_chars` characters as many, taken evenly from all of it (every text is scored whole).
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~crc_held_out("doc_id", mod, rest))
-        .groupBy("doc_id").agg(F.max(label).alias("__y"))
+        .groupBy("doc_id").agg(F.max(label).cast("double").alias("__y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     first = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), excerpt(F.col("text"), most_chars).alias("text"), "__y")).alias("r"))  # one row of an id that repeats
-    got = [(r[0], r[1], r[2]) for r in first.select("doc_id", "r.text", "r.__y").collect()]
-    got.sort(key=lambda r: r[0])
-    return [r[1] for r in got], np.array([r[2] for r in got], dtype=np.float64)
+    return first.select("doc_id", "r.text", F.col("r.__y").alias("y"))
+
+
+def trained(sample: DataFrame, train: Callable[[list[str], np.ndarray], object]):
+    """The model that train(texts, labels) makes of a bounded sample (doc_id, text, y), in one task of an executor: the driver holds no texts."""
+    import pickle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).to_pydict() if (batches := list(batches)) else {"text": [], "y": []}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows["text"], np.array(rows["y"], dtype=np.float64)))], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(freeing(run), "model binary").first()
+    return pickle.loads(got[0]) if got else train([], np.zeros(0))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_held_out, labelled_sample, mix, raw, slices, split_words, sums, text_udf, texts
+from ._common import crc_held_out, labelled_sample, mix, raw, slices, split_words, sums, text_udf, texts, trained
 
 BITS = 17
 DIM = 8
@@ -129,8 +129,7 @@ def train(samples: list[str], labels: np.ndarray, epochs: int = 6, rate: float =
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, most: int = TRAIN_ROWS) -> Model:
     """A model of labels.quality from at most `most` labelled rows that aren't held out. Without labels every score is 0.5."""
-    samples, y = labelled_sample(docs, labels, "quality", mod, rest, most)
-    return train(samples, y)
+    return trained(labelled_sample(docs, labels, "quality", mod, rest, most), train)
 
 
 def score(text: Column | str, model: Model) -> Column:

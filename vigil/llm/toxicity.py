@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Seen, crc_held_out, grown, labelled_sample, mix, raw, slices, split_words, text_udf, texts
+from ._common import Seen, crc_held_out, grown, labelled_sample, mix, raw, slices, split_words, text_udf, texts, trained
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS = 15, 16
@@ -25,7 +25,7 @@ TRAIN_ROWS = 4000
 #: Windows worked on at a time.
 BLOCK = 4096
 #: Words whose inputs a task remembers.
-CACHE = 500_000
+CACHE = 250_000
 #: Bytes of distinct words whose character n-grams are worked out at a time; a longer word is worked out in such parts.
 WORD_BYTES = 1 << 17
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -308,7 +308,7 @@ def train(samples: list[str], labels: np.ndarray, epochs: int = 6, least_steps:
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: int = TRAIN_ROWS) -> Network:
     """A network for labels.toxic from at most `most` labelled rows that aren't held out; untrained without labels."""
-    return train(*labelled_sample(docs, labels, "toxic", mod, rest, most))
+    return trained(labelled_sample(docs, labels, "toxic", mod, rest, most), train)
 
 
 def score(text: Column | str, net: Network) -> Column:
