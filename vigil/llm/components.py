@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import stage, unstage
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,11 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest id that can be reached) of each id in the edges (u, v). Without edges the result is empty."""
-    now = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").distinct()
+    now, old = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").distinct(), []
     for _ in range(rounds):
         now = stage(_small(_large(now)).distinct(), "star")
+        unstage(*old)
+        old = [now]
         # done when every node either is a centre or has one; the steps keep what is connected, so the stars are the components
         roles = now.select(F.col("u").alias("n"), F.lit(1).alias("leaf")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("leaf")))
         open_nodes = roles.groupBy("n").agg(F.sum("leaf").alias("centres"), F.min("leaf").alias("least")).where("centres > 1 or (centres = 1 and least = 0)")

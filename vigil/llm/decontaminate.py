@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hinted, mix, raw, slices, split_words, stage, text_key, texts
+from ._common import freeing, hinted, mix, raw, slices, split_words, stage, text_key, texts
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -175,15 +175,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, k: int, coverage: float) -> Da
     """doc_id, text_key, item_id, coverage, tiles, longest, item_words for each distinct document and item at or over the threshold."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_key().alias("key"), "text")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), text_key().alias("key"), "text").where("text is not null").dropDuplicates(["id", "key"])
-    sizes = sorted(r[0] for r in items.mapInArrow(_sizes(k), "size bigint").where("size > 0").distinct().collect())  # from 1 to k
-    seeds = stage(items.mapInArrow(_seeds(sizes, None), "id bigint, key bigint, h bigint").select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h"), "seeds")
+    sizes = sorted(r[0] for r in items.mapInArrow(freeing(_sizes(k)), "size bigint").where("size > 0").distinct().collect())  # from 1 to k
+    seeds = stage(items.mapInArrow(freeing(_seeds(sizes, None)), "id bigint, key bigint, h bigint").select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "h"), "seeds")
     slot = seeds.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot"))
     filled = slot.groupBy(F.expr("cast(slot >> 3 as int)").alias("byte")).agg(F.expr("bit_or(1 << cast(slot & 7 as int))").alias("bits"))
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     for r in filled.toLocalIterator():  # at most one row for each byte of the bitmap
         bitmap[r[0]] = r[1]
     known = seeds.count()
-    pairs = rows.where("text is not null").mapInArrow(_seeds(sizes, bitmap.tobytes()), "id bigint, key bigint, h bigint").join(hinted(seeds, known, SMALL), "h")
+    pairs = rows.where("text is not null").mapInArrow(freeing(_seeds(sizes, bitmap.tobytes())), "id bigint, key bigint, h bigint").join(hinted(seeds, known, SMALL), "h")
     pairs = stage(pairs.select("id", "key", "item_id", "item_key").distinct(), "pairs")
     n = pairs.count()
     # null ids meet as well
@@ -192,7 +192,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, k: int, coverage: float) -> Da
     with_items = pairs.join(hinted(own, known, SMALL // 10), same("item_id", "i") & same("item_key", "k")).select(F.col("id").alias("d"), F.col("key").alias("dk"), "item_id", "item_text")
     both = rows.dropDuplicates(["id", "key"]) if n > SMALL // 10 else rows
     both = both.join(hinted(with_items, n, SMALL // 10), same("id", "d") & same("key", "dk")).select("id", "key", "text", "item_id", "item_text")
-    found = both.mapInArrow(_tiled(k, coverage), "doc_id bigint, text_key bigint, item_id bigint, coverage double, tiles int, longest int, item_words int")
+    found = both.mapInArrow(freeing(_tiled(k, coverage)), "doc_id bigint, text_key bigint, item_id bigint, coverage double, tiles int, longest int, item_words int")
     return stage(found.distinct(), "leaks")
 
 

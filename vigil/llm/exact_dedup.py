@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hinted, raw, slices, stage, texts
+from ._common import freeing, hinted, raw, slices, stage, texts
 
 P = (1 << 31) - 1
 BASES = np.array([1_103_515_245, 69_069_069, 1_664_525_013, 741_103_597], dtype=np.int64)
@@ -98,7 +98,7 @@ def fingerprint_rows(docs: DataFrame, huge: int = HUGE, keep_text: bool = False,
     """doc_id, n (bytes), sha or the text, h1, h2 of each row; the last two are null for a text over `huge` bytes."""
     df = _rows(docs).withColumn("sha", F.sha2("text", 256)).withColumn("hashed", F.when(F.col("n") <= huge, F.col("text")))
     extra = ["doc_id", "n", "text" if keep_text else "sha"]
-    return df.select(*extra, "hashed").mapInArrow(_hash_rows(extra, "hashed", bases), f"doc_id bigint, n bigint, {extra[2]} string, h1 bigint, h2 bigint")
+    return df.select(*extra, "hashed").mapInArrow(freeing(_hash_rows(extra, "hashed", bases)), f"doc_id bigint, n bigint, {extra[2]} string, h1 bigint, h2 bigint")
 
 
 def cut(df: DataFrame, text: str, size: int, no: str, piece: str) -> DataFrame:
@@ -111,7 +111,7 @@ def fingerprint_huge(docs: DataFrame, huge: int = HUGE, segment: int = SEGMENT,
     """n, sha, h1, h2 of the distinct texts over `huge` bytes: segments hashed by many tasks, combined by their lengths."""
     big = _rows(docs).where(F.col("n") > huge).withColumn("sha", F.sha2("text", 256)).select("n", "sha", "text")
     parts = cut(big, "text", segment, "seg", "part").withColumn("len", F.octet_length("part").cast("bigint")).repartition("sha", "seg")
-    hashed = parts.mapInArrow(_hash_rows(["n", "sha", "seg", "len"], "part", bases), "n bigint, sha string, seg int, len bigint, h1 bigint, h2 bigint")
+    hashed = parts.mapInArrow(freeing(_hash_rows(["n", "sha", "seg", "len"], "part", bases)), "n bigint, sha string, seg int, len bigint, h1 bigint, h2 bigint")
 
     def join(pdf):
         h = np.zeros((1, len(bases)), np.int64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hinted, mix, slices, split_words, stage, text_key, texts
+from ._common import freeing, hinted, mix, slices, split_words, stage, text_key, texts, unstage
 from .components import components
 
 BANDS, ROWS = 64, 8
@@ -254,7 +254,7 @@ class _Linker:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
-        self.marks = stage(self.docs.mapInArrow(_signed(k), SCHEMA), "signatures")
+        self.marks = stage(self.docs.mapInArrow(freeing(_signed(k)), SCHEMA), "signatures")
         # a class's id is a number of its own: a document's may come with several texts
         self.classes = stage(
             self.marks.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
@@ -283,17 +283,20 @@ class _Linker:
         side = lambda x: own.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         near = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
         near = near.where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
-        near = stage(near.mapInArrow(_near(self.percent), "u bigint, v bigint"), "near")
+        near = stage(near.mapInArrow(freeing(_near(self.percent)), "u bigint, v bigint"), "near")
         n = near.count()
         if not n:
             return
         ids = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
-        sets = stage(self.texts_of(ids, 2 * n).mapInArrow(_sets(self.k), "id bigint, own array<bigint>").dropDuplicates(["id"]), "sets")
+        sets = stage(self.texts_of(ids, 2 * n).mapInArrow(freeing(_sets(self.k)), "id bigint, own array<bigint>").dropDuplicates(["id"]), "sets")
         a, b = sets.select(F.col("id").alias("u"), F.col("own").alias("own_u")), sets.select(F.col("id").alias("v"), F.col("own").alias("own_v"))
-        linked = stage(near.join(a, "u").join(b, "v").select("u", "v", "own_u", "own_v").mapInArrow(_alike(self.percent), "u bigint, v bigint"), "links")
+        linked = stage(near.join(a, "u").join(b, "v").select("u", "v", "own_u", "own_v").mapInArrow(freeing(_alike(self.percent)), "u bigint, v bigint"), "links")
+        unstage(near, sets)
         if linked.limit(1).count():
+            old = self.labels
             stars = None if self.labels is None else self.labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
             self.labels = stage(components(linked if stars is None else linked.unionByName(stars)), "labels")
+            unstage(linked, *([] if old is None else [old]))
 
     def open(self) -> int:
         """Find the groups that hold more than one component. rows: band, id and whether it is outside the main component; outs: those outside.
@@ -354,7 +357,7 @@ class _Linker:
         else:  # all groups are still open, and what is outside of each is one block
             every = inside.unionByName(outside).withColumn("os", F.lit(1))
         cells = every.groupBy("id").agg(F.collect_list(F.struct("band", "c", "asks", F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"), "os")).alias("cells"))
-        sketches = self.texts_of(cells.select("id")).mapInArrow(_sketched(self.k), "id bigint, n bigint, level int, sketch array<bigint>").dropDuplicates(["id"])
+        sketches = self.texts_of(cells.select("id")).mapInArrow(freeing(_sketched(self.k)), "id bigint, n bigint, level int, sketch array<bigint>").dropDuplicates(["id"])
         rows = sketches.join(cells, "id").select("id", "n", "level", "sketch", F.explode("cells").alias("cell")).select("id", "n", "level", "sketch", "cell.*")
         h = F.xxhash64("id")
         span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

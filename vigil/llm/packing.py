@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Seen, grown, raw, slices, split_words, texts
+from ._common import Seen, freeing, grown, raw, slices, split_words, texts
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Units whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Windows open in a task at a time.
 OPEN = 512
 #: Bytes of text worked on at a time, and of ids in an output batch.
@@ -295,7 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, mos
         packer.close()
         yield packer.rows()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(freeing(run), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
