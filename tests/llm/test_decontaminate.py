@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from vigil.llm import decontaminate
 from vigil.llm.decontaminate import PUNCT, drop_leaks, find_leaks, tile, words
 
 
@@ -38,7 +40,9 @@ def brute_tile(doc, item, k):
                 covered, tiles, longest = covered + best, tiles + 1, max(longest, best)
 
 
-def test_tile_is_greedy_string_tiling():
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 19])
+def test_tile_is_greedy_string_tiling(pairs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     r = random.Random(1)
     for n in range(400):
         few = r.choice([1, 2, 4, 20])
@@ -52,6 +56,11 @@ def test_tile_is_greedy_string_tiling():
         assert got == brute_tile(doc, item, k), (doc, item, k)
 
 
+def test_repeated_runs_of_a_long_text():
+    doc, item = np.array([1, 2, 3, 4, 5, 9] * 50_000, np.uint64), np.array([1, 2, 3, 4, 5, 8] * 60 + [7, 7, 7, 7, 7], np.uint64)
+    assert tile(doc, item, 5) == (300, 60, 5)
+
+
 def corpus():
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]

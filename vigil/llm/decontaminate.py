@@ -8,7 +8,7 @@ cover decides, so that passages are found whose parts stand in another order.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,8 @@ PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: The bitmap has 2^BITS bits, whatever the benchmark's size.
 BITS = 24
+#: Pairs of equal runs of a document and an item that are worked on at a time.
+PAIRS = 1 << 19
 #: Rows of seeds or pairs that are broadcast at most (under 50 bytes each).
 SMALL = 500_000
 
@@ -56,25 +58,43 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def matches(doc: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in both texts and lengths of all matches of at least k words that can't be made longer.
+def matches(doc: np.ndarray, item: np.ndarray, k: int) -> np.ndarray:
+    """Places in both texts and lengths of all matches of at least k words that can't be made longer, [3, matches].
 
-    Karp-Rabin hashes of k words find equal runs, words confirm them; neighbours on a diagonal are one match.
+    Karp-Rabin hashes of k words find equal runs, words confirm them; neighbours on a diagonal are one match. Pairs of places are
+    worked on PAIRS at a time; a match that reaches the end of one part goes on in the next.
     """
     own, theirs = rolling(item, k), rolling(doc, k)
     order = np.argsort(own, kind="stable")
     lo, hi = (np.searchsorted(own[order], theirs, side) for side in ("left", "right"))
-    n = hi - lo
-    i = np.repeat(np.arange(len(theirs)), n)
-    j = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    same = np.ones(len(i), dtype=bool)
-    for t in range(k):
-        same &= doc[i + t] == item[j + t]
-    i, j = i[same], j[same]
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1)))) if len(i) else np.zeros(0, np.int64)
-    return i[first], j[first], np.diff(np.append(first, len(i))) + k - 1
+    total = np.concatenate(([0], np.cumsum(hi - lo)))
+    out, going, a = [], np.zeros((3, 0), np.int64), 0
+    while a < len(theirs):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1)
+        n = hi[a:b] - lo[a:b]
+        i = np.repeat(np.arange(a, b), n)
+        j = order[np.repeat(lo[a:b] - (total[a:b] - total[a]), n) + np.arange(n.sum())]
+        same = np.ones(len(i), dtype=bool)
+        for t in range(k):
+            same &= doc[i + t] == item[j + t]
+        i, j = i[same], j[same]
+        by = np.lexsort((i, i - j))
+        i, j = i[by], j[by]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1)))) if len(i) else np.zeros(0, np.int64)
+        runs = np.stack([i[first], j[first], np.diff(np.append(first, len(i)))])
+        # those that go on from the part before
+        at = {d: x for x, d in enumerate((going[0] - going[1]).tolist())}
+        more = np.array([at.get(int(r[0] - r[1]), -1) if r[0] == a else -1 for r in runs.T], dtype=np.int64) if at else np.full(runs.shape[1], -1)
+        on = more >= 0
+        runs[2, on] += going[2, more[on]]
+        runs[:2, on] = going[:2, more[on]]
+        out.append(np.delete(going, more[on], axis=1))
+        ends = runs[0] + runs[2] == b
+        out.append(runs[:, ~ends])
+        going, a = runs[:, ends], b
+    found = np.concatenate([*out, going], axis=1)
+    found[2] += k - 1
+    return found
 
 
 def tile(doc: np.ndarray, item: np.ndarray, k: int) -> tuple[int, int, int]:
@@ -86,24 +106,29 @@ def tile(doc: np.ndarray, item: np.ndarray, k: int) -> tuple[int, int, int]:
     k = min(k, len(item))
     if not k or len(doc) < k:
         return 0, 0, 0
-    queue: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, j, n in zip(*(x.tolist() for x in matches(doc, item, k)), strict=True):
-        queue[n].append((i, j))
+    found = matches(doc, item, k)
+    found = found[:, np.lexsort((found[1], found[0], -found[2]))]
+    heads = zip(*found, strict=True)
+    head, cut = next(heads, None), []  # whole matches in order, and a heap of shortened ones
     in_doc, in_item, room = bytearray(len(doc)), bytearray(len(item)), bytes(k)
     covered = tiles = longest = 0
-    while queue and room in in_item:
-        n = max(queue)
-        for i, j in sorted(queue.pop(n)):
-            a, b = in_doc[i : i + n], in_item[j : j + n]
-            if 1 not in a and 1 not in b:
-                in_doc[i : i + n] = in_item[j : j + n] = b"\1" * n
-                covered, tiles, longest = covered + n, tiles + 1, max(longest, n)
-                continue
-            free = (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)) == 0
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
-            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what is left of it
-                if y - x >= k:
-                    queue[y - x].append((i + x, j + x))
+    while (head is not None or cut) and room in in_item:
+        if head is None or (cut and cut[0] < (-int(head[2]), int(head[0]), int(head[1]))):
+            n, i, j = heapq.heappop(cut)
+            n = -n
+        else:
+            i, j, n = map(int, head)
+            head = next(heads, None)
+        a, b = in_doc[i : i + n], in_item[j : j + n]
+        if 1 not in a and 1 not in b:
+            in_doc[i : i + n] = in_item[j : j + n] = b"\1" * n
+            covered, tiles, longest = covered + n, tiles + 1, max(longest, n)
+            continue
+        free = (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)) == 0
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
+        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what is left of it
+            if y - x >= k:
+                heapq.heappush(cut, (x - y, i + x, j + x))
     return covered, tiles, longest
 
 
