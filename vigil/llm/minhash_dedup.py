@@ -357,7 +357,7 @@ class _Linker:
         else:  # all groups are still open, and what is outside of each is one block
             every = inside.unionByName(outside).withColumn("os", F.lit(1))
         cells = every.groupBy("id").agg(F.collect_list(F.struct("band", "c", "asks", F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"), "os")).alias("cells"))
-        sketches = self.texts_of(cells.select("id")).mapInArrow(freeing(_sketched(self.k)), "id bigint, n bigint, level int, sketch array<bigint>").dropDuplicates(["id"])
+        sketches = self.texts_of(cells.select("id"), self.rows.select("id").distinct().count()).mapInArrow(freeing(_sketched(self.k)), "id bigint, n bigint, level int, sketch array<bigint>").dropDuplicates(["id"])
         rows = sketches.join(cells, "id").select("id", "n", "level", "sketch", F.explode("cells").alias("cell")).select("id", "n", "level", "sketch", "cell.*")
         h = F.xxhash64("id")
         span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
