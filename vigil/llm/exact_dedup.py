@@ -25,6 +25,8 @@ COMPARE = 1 << 16
 HUGE = 64 << 20
 #: Rows of a group that meet its kept text in one part.
 PART = 256
+#: Dropped rows (id and SHA-256) that are broadcast at most.
+SMALL = 200_000
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -171,5 +173,5 @@ def group_copies(docs: DataFrame, huge: int = HUGE, segment: int = SEGMENT, base
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts those of the largest doc_id. Rows whose id and text repeat stay together."""
-    gone = group_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__sha")), "left_anti")
+    gone = stage(group_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "copies")
+    return docs.join(hinted(gone, gone.count(), SMALL), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__sha")), "left_anti")

@@ -33,7 +33,7 @@ PIVOT_ROUNDS, PIVOTS, LEFT = 3, 4, 500
 STAR_BANDS = 4
 #: Hashes of a set that a sketch holds, and rows of a group on either side of a block, when the open pairs are checked.
 SKETCH, BLOCK = 2048, 512
-#: Groups (24 bytes each) that are broadcast at most.
+#: Groups, or dropped rows, (24 bytes each) that are broadcast at most.
 MOST_GROUPS = 500_000
 SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
 
@@ -421,5 +421,5 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with their columns: those of the smallest doc_id of each component, and what is linked with nothing."""
-    gone = _Linker(docs, k, percent).run().where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("bigint") == F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
+    gone = stage(_Linker(docs, k, percent).run().where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "copies")
+    return docs.join(hinted(gone, gone.count(), MOST_GROUPS), (F.col("doc_id").cast("bigint") == F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
