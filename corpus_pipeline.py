@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import decontaminate, exact_dedup, minhash_dedup, packing, toxicity
-from vigil.llm._common import stage, table
+from vigil.llm._common import small_batches, stage, table
 from vigil.llm.queries import tokenizer_path
 
 #: Documents that score as much are rejected.
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("minhash_dedup", drop_near_copies), ("decontamination", drop_leaks), ("packing", pack)]
+STAGES = [(name, small_batches(f)) for name, f in [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("minhash_dedup", drop_near_copies), ("decontamination", drop_leaks), ("packing", pack)]]
 
 #: The trained network, the links and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes worked on at a time in a Python worker, so that memory doesn't follow the Arrow batch.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of (spark, ...) whose rows go to Python workers in Arrow batches of about BATCH_BYTES, so that neither side holds a partition's texts at once.
+
+    Spark plans when the result is read, so the session keeps the limit; a smaller one that it has stays. Results do not depend on it.
+    """
+
+    @wraps(f)
+    def go(spark: SparkSession, *args) -> DataFrame:
+        jvm, key = spark._jsparkSession.sessionState().conf(), "spark.sql.execution.arrow.maxBytesPerBatch"
+        if not 0 < jvm.arrowMaxBytesPerBatch() <= BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+        return f(spark, *args)
+
+    return go
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for df in frames:
@@ -110,19 +129,25 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Seen:
-    """Numbers words from 0 as they come and forgets all when more than `limit` have come."""
+    """Numbers words from 0 as they come and forgets all when more than `limit` have come. Words stay in one Arrow array: a dict takes several times as much."""
 
     def __init__(self, limit: int):
-        self.limit, self.place = limit, {}
+        self.limit, self.words = limit, None
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, list[str], int]:
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, pa.Array, int]:
         """The number of each of some distinct words, the new ones and how many were known before them (0: all were forgotten)."""
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > self.limit:
-            self.place, new = {}, words
-        n = len(self.place)
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words)), new, n
+        if self.words is None:
+            self.words = words[:0]
+        found = pc.fill_null(pc.index_in(words, self.words), -1)
+        new = words.filter(pc.equal(found, -1))
+        if len(self.words) + len(new) > self.limit:
+            self.words, new, found = words[:0], words, pa.array(np.full(len(words), -1, np.int32))
+        n = len(self.words)
+        if len(new):
+            self.words = pa.concat_arrays([self.words, new])
+        places = np.asarray(found).astype(np.int64)
+        places[places < 0] = np.arange(n, n + len(new))
+        return places, new, n
 
 
 def grown(table: np.ndarray, rows: int) -> np.ndarray:

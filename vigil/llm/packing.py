@@ -28,7 +28,7 @@ CACHE = 400_000
 #: Windows open in a task at a time.
 OPEN = 512
 #: Bytes of text worked on at a time, and of ids in an output batch.
-TEXT_BYTES, OUT_BYTES = 4 << 20, 4 << 20
+TEXT_BYTES, OUT_BYTES = 2 << 20, 2 << 20
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The pre-tokens of tokenizer files whose texts can be cut at white space and at the ASCII signs around a word (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -127,11 +127,11 @@ class Encoder:
         out, ends = gather(np.concatenate([*ids, body]), at, order)
         return out, np.diff(ends)
 
-    def _units(self, units: list[str]) -> np.ndarray:
+    def _units(self, units: pa.Array) -> np.ndarray:
         """Each unit's place in the cache."""
         places, new, n = self.seen(units)
-        if new:
-            ids, lens = self._encode_units(new)
+        if len(new):
+            ids, lens = self._encode_units(new.to_pylist())
             base = self.ends[n]
             self.ends, self.ids = grown(self.ends, n + len(new) + 1), grown(self.ids, base + len(ids))
             self.ids[base : base + len(ids)] = ids
@@ -141,7 +141,7 @@ class Encoder:
     def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words and their offsets."""
         codes, units = cut_signs(distinct, self.special)
-        own = self._units(units.to_pylist())[codes.ravel()]
+        own = self._units(units)[codes.ravel()]
         ids, at = gather(self.ids, self.ends, own)
         return ids, at[::3]
 

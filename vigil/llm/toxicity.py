@@ -233,11 +233,10 @@ class Network:
         if not hasattr(self, "seen"):
             self.seen, self.known = Seen(CACHE), np.zeros((1 << 12, 2 * DIM), np.float32)
         codes, offsets, distinct = tokens(arr)
-        words = distinct.cast(pa.large_binary()).to_pylist()  # bytes: a text need not be valid UTF-8
-        places, new, n = self.seen(words)
-        if new:
+        places, new, n = self.seen(distinct.cast(pa.large_binary()))  # bytes: a text need not be valid UTF-8
+        if len(new):
             self.known = grown(self.known, n + len(new))
-            self.known[n : n + len(new)] = self.inputs(pa.array(new, pa.large_binary()).view(pa.large_string()))
+            self.known[n : n + len(new)] = self.inputs(new.view(pa.large_string()))
         _, gates = self.gates(self.known[places])
         logit, _, _, at = self.logits(codes, offsets, gates)
         return pa.array(1 / (1 + np.exp(-np.maximum.reduceat(logit, at[:-1]).astype(np.float64))))
