@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vigil import registry as R
 from vigil.operators.policy import debounce, immediate
 from vigil.operators.rules import Rule, Rules, fan_out
+from vigil.plans import batches
 from vigil.plans.batches import ROW, Folder, replay
 
 COLUMNS = ("instance_key", "what", "opened_ms", "frozen_ms", "closed_by", "bytes", "kind")
@@ -48,3 +50,39 @@ def test_cut_streams_equal_whole_ones(spark, events, name, slice_ms):
     want += folder.end()
     assert got == sorted((tuple(w[c] for c in COLUMNS) for w in want), key=str)
     assert len(got) > 100
+
+
+def made(events, name):
+    rule = Rule("r", "1", "events", POLICIES[name], decide=R.several if "at once" not in name else R.always)
+    rules = Rules([rule])
+    return fan_out(R.app([rule]).events({"events": events}), rules), rules
+
+
+@pytest.mark.parametrize("name", sorted(POLICIES))
+@pytest.mark.parametrize("hot_rows", [0, 90])
+def test_large_streams_are_cut_and_equal_whole_ones(spark, events, name, hot_rows):
+    branches, rules = made(events, name)
+    got, want = (sorted((tuple(x) for x in replay(branches, rules, ["ops"], slice_ms=100, hot_rows=n).select(*COLUMNS).collect()), key=str) for n in (hot_rows, 10_000))
+    assert got == want and len(got) > 100
+
+
+@pytest.mark.parametrize("name", sorted(POLICIES))
+def test_small_streams_take_one_shuffle_and_no_table(spark, events, name, monkeypatch):
+    branches, rules = made(events, name)
+    stored, names = batches.stored, []
+    monkeypatch.setattr(batches, "stored", lambda df, n: names.append(n) or stored(df, n))
+    folded = replay(branches, rules, ["ops"])
+    assert names == ["hot"]
+    assert str(folded._jdf.queryExecution().sparkPlan()).count("Exchange") == 1
+
+
+def test_records_hold_rows_as_they_are():
+    stream = dict.fromkeys(batches.STREAM, "s")
+    rows = [batches.note_row(stream, "duplicate", 5, "e", "b", None), {**batches.note_row(stream, "batch", 6, "é", "b2", "d"), "members": [], "bytes": 7}]
+    rows.append({**rows[0], "members": [{"event_key": "x", "branch_key": "y", "body": '{"a":1}'}, {"event_key": "z", "branch_key": None, "body": None}]})
+    assert batches._record(rows).equals(pa.RecordBatch.from_pylist(rows, schema=batches.OUT))
+
+
+def test_raw_rows_of_one_split_are_spread(spark, events):
+    one = R.app([Rule("r", "1", "events", immediate())]).folded({"events": events.coalesce(1)}, unique=True)
+    assert one.rdd.getNumPartitions() == 4

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import re
 from collections.abc import Iterable
+from functools import lru_cache
+from json.encoder import encode_basestring
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ def _number(x: float) -> str:
     return sign + all_digits[0] + ("." + all_digits[1:] if n > 1 else "") + ("e+" if e > 0 else "e-") + str(abs(e))
 
 
+@lru_cache(4096)
 def _order(key: str) -> tuple:
     """Integer-like keys first by number, then UTF-16 code units."""
     if re.fullmatch(r"0|[1-9]\d{0,9}", key) and int(key) < 2**32 - 1:
@@ -48,8 +50,13 @@ def _order(key: str) -> tuple:
 
 def canonical_json(value) -> str:
     """Canonical text of None, bool, int, float, str, list and dict; anything else, and cycles, raise TypeError or ValueError."""
-    if value is None or isinstance(value, (bool, str)):
-        return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        text = encode_basestring(value)
+        return text if text.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
     if isinstance(value, int):
         return _number(float(value)) if abs(value) > 2**53 - 1 else str(value)
     if isinstance(value, float):
@@ -82,7 +89,7 @@ def _low_escapes(json_text: Column) -> Column:
     def lowered(text: Column, digit: Column) -> Column:
         return F.regexp_replace(text, F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\u00([01])"), digit), F.concat(F.lit(r"$1\\u00$2"), F.lower(digit)))
 
-    return F.when(json_text.rlike(r"\\u00[01][A-F]"), F.aggregate(F.split(F.lit("ABCDEF"), ""), json_text, lowered)).otherwise(json_text)
+    return F.when(json_text.contains("\\u00"), F.aggregate(F.split(F.lit("ABCDEF"), ""), json_text, lowered)).otherwise(json_text)
 
 
 def array_json(parts: Iterable[Column]) -> Column:
@@ -95,6 +102,11 @@ def string_json(col: Column) -> Column:
     return _once(F.to_json(F.array(col.cast("string"))), lambda j: F.when(j != "[null]", F.substring(_low_escapes(j), F.lit(2), F.length(j) - 2)))
 
 
+def plain_json(text: Column) -> Column:
+    """Canonical text of a string that needs no escapes, such as a time; null stays null."""
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def object_json(fields: dict[str, Column]) -> Column:
     """Canonical text of an object whose fields are given as JSON texts; a null text means that the field is absent."""
     parts = [F.concat(F.lit(canonical_json(k) + ":"), fields[k]) for k in sorted(fields, key=_order)]  # null if the field is

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import object_json, string_json
+from ..functions.canonical import canonical_json, object_json, plain_json, string_json
 from ..functions.identity import event_key, input_hash_column, occurrence_key
 from ..functions.scalars import iso, not_blank, positive
 
@@ -76,13 +76,14 @@ class Channel:
     def events(self, raw: DataFrame, application_id: str, accepted_ms: Column | None = None) -> DataFrame:
         """Valid rows as accepted events with event_key, input_hash, occurrence_key and their canonical text event_json."""
         df = self.shaped(raw, application_id, accepted_ms).where("issues = ''").drop("issues")
-        kinds = {"text": string_json, "number": lambda c: c.cast("string"), "time": lambda c: string_json(iso(c)), "json": lambda c: c}
+        kinds = {"text": string_json, "number": lambda c: c.cast("string"), "time": lambda c: plain_json(iso(c)), "json": lambda c: c}
         own = {js: kinds[kind](F.col(k)) for k, (js, kind) in FIELDS.items() if k in self.fields}
-        own["source"] = object_json({"channelId": string_json(F.col("channel_id")), "installationId": string_json(F.col("installation_id")), "tenantId": string_json(F.col("tenant_id"))})
+        given = lambda x, c: string_json(F.col(c)) if isinstance(x, Column) else F.lit(canonical_json(x))
+        own["source"] = object_json({"channelId": given(self.name, "channel_id"), "installationId": given(self.installation_id, "installation_id"), "tenantId": given(self.tenant_id, "tenant_id")})
         own["origin"] = F.lit(f'{{"depth":{self.origin_depth},"kind":"{self.origin_kind}"}}')
         df = df.withColumn("event_json", object_json(own))
         accepted = object_json({
-            "applicationId": string_json(F.col("application_id")), "canonicalizationVersion": F.col("canonicalization_version").cast("string"),
+            "applicationId": given(application_id, "application_id"), "canonicalizationVersion": F.col("canonicalization_version").cast("string"),
             "event": F.col("event_json"), "partitionKey": string_json(F.col("partition_key")),
         })
         df = df.withColumn("event_key", event_key(*[F.col(c) for c in ("tenant_id", "application_id", "channel_id", "installation_id", "id")])).withColumn("input_hash", input_hash_column(accepted))

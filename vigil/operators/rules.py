@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_json, object_json, string_json
+from ..functions.canonical import canonical_json, object_json, plain_json, string_json
 from ..functions.identity import branch_key, input_hash_column, instance_key, partition_cell_key
 from ..functions.scalars import is_blank, iso, not_blank, utf16
 from .policy import Limits, Policy
@@ -59,22 +59,29 @@ class Rules:
         return self.by[monitor, version]
 
 
+#: Columns of an event that are keys, and what a plan holds as canonical text.
+KEYS = ("event_key", "occurrence_key", "input_hash")
+PLANNED = ("__monitor_id", "__definition_version", "__phase", "__mode")
+
+
 def _plan(rule: Rule) -> Column:
     order = F.expr(rule.order_key) if rule.order_key else F.coalesce(iso(F.col("occurred_ms")), F.col("id"))
     return F.struct(
         (F.coalesce(F.expr(rule.matches), F.lit(False)) & (F.col("channel_id") == rule.channel)).alias("matched"), F.lit(rule.id).alias("monitor_id"), F.lit(rule.version).alias("definition_version"),
         F.lit(rule.phase).cast("string").alias("phase"), F.expr(rule.correlation_key).cast("string").alias("correlation_key"), order.cast("string").alias("order_key"), F.lit(rule.mode).alias("mode"),
         F.lit(canonical_json(rule.policy.value())).alias("policy_json"), F.lit(rule.policy.max_bytes).cast("bigint").alias("max_bytes"),
+        *[F.lit(None if x is None else canonical_json(x)).cast("string").alias(f"__{c}") for c, x in {"monitor_id": rule.id, "definition_version": rule.version, "phase": rule.phase, "mode": rule.mode}.items()],
     )
 
 
-def _logical() -> dict[str, Column]:
-    """What a branch's hash is of: JSON name -> canonical text."""
+def _logical(made: bool = False) -> dict[str, Column]:
+    """What a branch's hash is of: JSON name -> canonical text. made: by fan_out, where keys need no escapes and a plan holds its own texts."""
     text = {
         "applicationId": "application_id", "tenantId": "tenant_id", "partitionKey": "partition_key", "eventKey": "event_key", "occurrenceKey": "occurrence_key", "sourceInputHash": "input_hash",
         "monitorId": "monitor_id", "definitionVersion": "definition_version", "phase": "phase", "correlationKey": "correlation_key", "orderKey": "order_key", "mode": "mode",
     }
-    return {k: string_json(F.col(c)) for k, c in text.items()} | {"canonicalizationVersion": F.col("canonicalization_version").cast("string"), "event": F.col("event_json"), "policy": F.col("policy_json")}
+    texts = {k: F.col(f"__{c}") if made and f"__{c}" in PLANNED else plain_json(F.col(c)) if made and c in KEYS else string_json(F.col(c)) for k, c in text.items()}
+    return texts | {"canonicalizationVersion": F.col("canonicalization_version").cast("string"), "event": F.col("event_json"), "policy": F.col("policy_json")}
 
 
 def fan_out(events: DataFrame, rules: Rules) -> DataFrame:
@@ -87,16 +94,16 @@ def fan_out(events: DataFrame, rules: Rules) -> DataFrame:
         raise ValueError("no rules")
     some = reduce(lambda a, b: a | b, [F.expr(r.matches) & (F.col("channel_id") == r.channel) for r in rules.all])
     plans = F.filter(F.array(*map(_plan, rules.all)), lambda p: p["matched"])
-    df = events.where(some).withColumn("p", F.explode(plans)).select("*", *[F.col(f"p.{c}").alias(c) for c in ("monitor_id", "definition_version", "phase", "correlation_key", "order_key", "mode", "policy_json", "max_bytes")]).drop("p")
+    df = events.where(some).withColumn("p", F.explode(plans)).select("*", *[F.col(f"p.{c}").alias(c) for c in ("monitor_id", "definition_version", "phase", "correlation_key", "order_key", "mode", "policy_json", "max_bytes", *PLANNED)]).drop("p")
     cell = partition_cell_key(*[F.col(c) for c in ("application_id", "tenant_id", "channel_id", "installation_id", "partition_key")])
     df = df.withColumn("branch_key", branch_key(*[F.col(c) for c in ("occurrence_key", "monitor_id", "definition_version", "phase", "correlation_key")]))
-    df = df.withColumn("instance_key", instance_key(cell, F.col("monitor_id"), F.col("definition_version"), F.col("correlation_key")))
-    logical = _logical()
-    df = df.withColumn("branch_hash", input_hash_column(object_json(logical)))
-    whole = object_json(logical | {"branchKey": string_json(F.col("branch_key")), "inputHash": string_json(F.col("branch_hash"))})
-    df = df.withColumn("bytes", F.octet_length(whole).cast("bigint"))
+    df = df.withColumn("__cell", cell).withColumn("instance_key", instance_key(F.col("__cell"), F.col("monitor_id"), F.col("definition_version"), F.col("correlation_key")))
+    df = df.withColumn("__text", object_json(_logical(made=True))).withColumn("branch_hash", input_hash_column(F.col("__text")))
+    # the whole branch also holds its key and hash: two more fields, each with a comma
+    own = object_json({"branchKey": plain_json(F.col("branch_key")), "inputHash": plain_json(F.col("branch_hash"))})
+    df = df.withColumn("bytes", (F.octet_length("__text") + F.octet_length(own) - 1).cast("bigint"))
     problem = F.when(~not_blank(F.col("correlation_key")), "blank correlation key").when(~not_blank(F.col("order_key")), "blank order key").when(F.col("bytes") > F.col("max_bytes"), "branch exceeds maxBytes")
-    return df.withColumn("problem", problem).drop("max_bytes")
+    return df.withColumn("problem", problem).drop("max_bytes", "__cell", "__text", *PLANNED)
 
 
 def receipts(events: DataFrame, branches: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008

@@ -13,7 +13,7 @@ from ..functions.scalars import is_blank
 from ..operators.channel import Channel
 from ..operators.policy import Limits
 from ..operators.rules import Rule, Rules, fan_out, receipts
-from .batches import keyed, replay
+from .batches import keyed, replay, spread
 from .wakes import decided, runs
 
 
@@ -76,7 +76,7 @@ class App:
 
     def folded(self, raw: dict[str, DataFrame], unique: bool = False, capped: bool = False) -> DataFrame:
         """Batches, duplicates and conflicts of a bounded input, in virtual time. capped: check the fan-out caps, which costs a shuffle."""
-        events = self.events(raw)
+        events = self.events({name: spread(df) for name, df in raw.items()})
         branches = self.admitted(events) if capped else fan_out(events, self.rules)
         return replay(branches, self.rules, list(self.routes), self.limits, unique)
 

@@ -13,7 +13,7 @@ from .operators.outcomes import Decision, ignore, sequence_sql, wake
 from .operators.policy import Limits, debounce, immediate
 from .operators.rules import Rule, Rules, fan_out, receipts, stream_appends, verify_fanout
 from .plans.app import App, Route
-from .plans.batches import replay
+from .plans.batches import replay, spread
 from .plans.wakes import counters, delivery_conflicts, undelivered
 
 H = 3_600_000
@@ -109,7 +109,7 @@ def again(spark, d) -> DataFrame:
     late = lambda n, days: raw.where(F.col("event_id") % n == 0).withColumn("__at", to_ms(F.col("ts")) + days * 24 * H)
     every = raw.withColumn("__at", to_ms(F.col("ts"))).unionByName(late(3, 2)).unionByName(late(9, 10))
     channel = events_channel()
-    return channel.events(every, "demo", F.col("__at"))
+    return channel.events(spread(every), "demo", F.col("__at"))
 
 
 def q_ring(spark, d) -> DataFrame:
