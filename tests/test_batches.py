@@ -86,3 +86,17 @@ def test_records_hold_rows_as_they_are():
 def test_raw_rows_of_one_split_are_spread(spark, events):
     one = R.app([Rule("r", "1", "events", immediate())]).folded({"events": events.coalesce(1)}, unique=True)
     assert one.rdd.getNumPartitions() == 4
+
+
+#: Registered queries that once cut small streams too.
+FOUND = [
+    "ring_dedup",
+]
+
+
+@pytest.mark.parametrize("name", FOUND)
+def test_registered_queries_write_no_branches(spark, name, monkeypatch):
+    stored, names = batches.stored, []
+    monkeypatch.setattr(batches, "stored", lambda df, n: names.append(n) or stored(df, n))
+    R.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert names == ["hot"]
