@@ -91,6 +91,7 @@ def test_raw_rows_of_one_split_are_spread(spark, events):
 #: Registered queries that once cut small streams too.
 FOUND = [
     "ring_dedup",
+    "cooldown_immediate",
 ]
 
 
