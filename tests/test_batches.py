@@ -92,6 +92,7 @@ def test_raw_rows_of_one_split_are_spread(spark, events):
 FOUND = [
     "ring_dedup",
     "cooldown_immediate",
+    "cooldown_batches",
 ]
 
 
