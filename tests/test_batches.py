@@ -93,6 +93,7 @@ FOUND = [
     "ring_dedup",
     "cooldown_immediate",
     "cooldown_batches",
+    "debounce_max_events",
 ]
 
 
