@@ -94,6 +94,7 @@ FOUND = [
     "cooldown_immediate",
     "cooldown_batches",
     "debounce_max_events",
+    "debounce_quiet",
 ]
 
 
