@@ -95,6 +95,7 @@ FOUND = [
     "cooldown_batches",
     "debounce_max_events",
     "debounce_quiet",
+    "diagnostics",
 ]
 
 
