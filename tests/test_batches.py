@@ -96,6 +96,7 @@ FOUND = [
     "debounce_max_events",
     "debounce_quiet",
     "diagnostics",
+    "next_due_at",
 ]
 
 
