@@ -97,6 +97,7 @@ FOUND = [
     "debounce_quiet",
     "diagnostics",
     "next_due_at",
+    "debounce_full",
 ]
 
 
