@@ -98,6 +98,7 @@ FOUND = [
     "diagnostics",
     "next_due_at",
     "debounce_full",
+    "debounce_max_wait",
 ]
 
 
