@@ -99,6 +99,7 @@ FOUND = [
     "next_due_at",
     "debounce_full",
     "debounce_max_wait",
+    "closed_by_counts",
 ]
 
 
