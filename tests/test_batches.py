@@ -100,6 +100,7 @@ FOUND = [
     "debounce_full",
     "debounce_max_wait",
     "closed_by_counts",
+    "debounce_max_bytes",
 ]
 
 
