@@ -101,6 +101,7 @@ FOUND = [
     "debounce_max_wait",
     "closed_by_counts",
     "debounce_max_bytes",
+    "decide_sequence_a_then_b",
 ]
 
 
